@@ -168,13 +168,13 @@ def redacted(text: Column, found: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every secret replaced by <secret> and n_chars, where there is one, brought up to date."""
     found, _ = scan(docs)
-    hit = cut(found.where(F.size("findings") > 0).select(F.col("doc_id").alias("_path"), F.col("blob").alias("_blob"), F.col("findings").alias("_found")).distinct())
-    marked = docs.withColumn("_own", F.sha2(F.coalesce("text", F.lit("")), 256))
-    whole = marked.join(hit, marked.doc_id.eqNullSafe(hit._path) & (marked._own == hit._blob), "left")
-    text = F.when(F.col("_found").isNotNull(), redacted(F.col("text"), F.col("_found"))).otherwise(F.col("text"))
-    whole = whole.withColumn("text", text)
+    path = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_lf_path")
+    hit = cut(found.where(F.size("findings") > 0).select(path, F.col("blob").alias("_lf_blob"), F.col("findings").alias("_lf_found")).distinct())
+    whole = docs.select("*", path, F.sha2(F.coalesce("text", F.lit("")), 256).alias("_lf_blob")).join(hit, ["_lf_path", "_lf_blob"], "left")
+    hidden = F.col("_lf_found").isNotNull()
+    whole = whole.withColumn("text", F.when(hidden, redacted(F.col("text"), F.col("_lf_found"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        whole = whole.withColumn("n_chars", F.when(F.col("_found").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        whole = whole.withColumn("n_chars", F.when(hidden, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return whole.select(docs.columns)
 
 
