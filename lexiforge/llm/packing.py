@@ -136,7 +136,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Da
     """pieces with sequence_id and offset. They are dealt out by hash, so shards are even and bounded."""
     shards = max(1, -(-pieces.count() // shard))
 
-    def run(key, part: pa.Table) -> pa.Table:
+    def run(key, part):
         part = part.drop_columns(["_shard"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         where, offset = best_fit(part["length"].to_pylist(), capacity)
         part = part.append_column("sequence_id", pa.array(np.array(where, np.int64) + (key[0].as_py() << 32)))

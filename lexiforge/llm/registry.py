@@ -5,7 +5,10 @@ from __future__ import annotations
 import importlib
 
 _QUERIES = {
+    "op4_packing": "packing",
+    "op6_toxicity": "toxicity",
     "op7_simhash_near_dedup": "simhash",
+    "op8_mixing": "mixing",
     "op10_secret_scans": "secrets",
 }
 _SQL = {

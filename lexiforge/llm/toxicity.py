@@ -1,12 +1,12 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the mean of its character n-grams' vectors, a document the mean of its words, and a softmax
+A word is the mean of its own vector and those of its character n-grams, a document the mean of its words, and a softmax
 over two classes follows; n-gram vectors and softmax are trained together. An unseen misspelling shares
 most n-grams with the word it stands for. As all of this is linear up to the softmax, an n-gram's weight
 can be folded into one number for scoring, and a document's score needs no matrices.
 
-Labels are learned from a bounded, documented sample: PER_CLASS rows of each class and at most
-SAMPLE_CHARS characters of each, taken by a hash of the id.
+Labels are learned from a bounded, documented sample: PER_CLASS rows of class 0 and 1 and at
+most SAMPLE_CHARS characters of each, taken by a hash of the id.
 
 Defined cases: a null or empty text, or one without words, gets the score of the bias alone, which is
 below the threshold; repeated rows score alike; a null doc_id keeps its row and counts as held out;
@@ -16,6 +16,7 @@ of both classes every score is the share of class 1 in the sample (0 if there ar
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,12 +25,18 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lexiforge.llm.common import fold_bucket, table
 
-PER_CLASS = 2500
-SAMPLE_CHARS = 12_000_000
+PER_CLASS = (6000, 2000)
+SAMPLE_CHARS = 24_000_000
 BUCKETS = 1 << 18
 DIM = 8
 SIZES = (3, 4, 5)
-EPOCHS = 8
+EPOCHS = 10
+#: A small sample is gone through more often, for so many steps at least.
+LEAST_STEPS = 240
+#: How far each step draws an n-gram's whole vector to zero, against the rate: only those that keep earning it stay.
+DECAY = 0.6
+#: N-grams in fewer documents of the sample have no vector.
+LEAST_DOCS = 4
 BATCH = 128
 THRESHOLD = 0.5
 #: Words whose scores an executor's worker remembers; when full, it starts anew.
@@ -42,7 +49,7 @@ def words(text: str | None) -> list[str]:
 
 
 def ngrams(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, bucket) of every character n-gram of every word, with marks at both ends."""
+    """(word index, bucket) of every character n-gram of every word, with marks at both ends, and of the word itself."""
     lengths = np.fromiter(map(len, some), np.int64, len(some)) + 2
     chars = np.frombuffer(("<" + "><".join(some) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(some), dtype=np.int32), lengths)
@@ -58,6 +65,8 @@ def ngrams(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = left[: len(h)] >= n
         rows.append(owner[: len(h)][whole])
         grams.append((h[whole] >> np.uint64(20)).astype(np.int64) % BUCKETS)
+    rows.append(np.arange(len(some), dtype=np.int32))
+    grams.append(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in some), np.int64, len(some)) % BUCKETS)
     return np.concatenate(rows), np.concatenate(grams)
 
 
@@ -97,8 +106,13 @@ class _Batch:
         self.starts = np.concatenate(([0], np.cumsum(self.per_word)[:-1])).astype(np.int64)
         self.word_of_gram = rows[order].astype(np.int32)
 
+    def docs_of_gram(self) -> np.ndarray:
+        """In how many of the documents each bucket occurs; an upper bound where words of one document share it."""
+        docs_of_word = np.bincount(self.word, minlength=self.n_words)
+        return np.bincount(self.grams, docs_of_word[self.word_of_gram], BUCKETS).astype(np.int32)
 
-def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
+
+def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = 7, decay: float = DECAY, least_docs: int = LEAST_DOCS) -> Model:
     """Minibatch Adam on the cross entropy of both layers at once; each class weighs the same."""
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
@@ -110,6 +124,12 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed:
     per_class = len(y) / (2 * np.bincount(y, minlength=2))
     table = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
+    epochs = max(epochs, -(-LEAST_STEPS // len(batches)))
+    often = np.zeros(BUCKETS, np.int32)
+    for b in batches:
+        often += b.docs_of_gram()
+    rare = often < least_docs
+    table[rare] = 0
     params = [table, soft, bias]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for epoch in range(epochs):
@@ -139,15 +159,19 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed:
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.99 * second[i] + 0.01 * g * g
                 q -= rate * (0.1 if i == 0 else 0.3) * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
+                if i == 0:
+                    norm = np.sqrt(np.einsum("ij,ij->i", q, q))
+                    q *= np.maximum(0, 1 - 0.1 * rate * decay / np.maximum(norm, 1e-9))[:, None]
+                    q[rare] = 0
     odds = soft[:, 1] - soft[:, 0]
     return Model((table @ odds).astype(np.float64), float(bias[1] - bias[0]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, chars: int = SAMPLE_CHARS) -> tuple[list[str | None], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int] = PER_CLASS, chars: int = SAMPLE_CHARS) -> tuple[list[str | None], list[int]]:
     """Texts and labels for learning; both bounds hold for each class."""
     known = labels.where(F.col(label).isin(0, 1) & (fold_bucket(F.col("doc_id")) != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     turn = F.xxhash64("doc_id", F.lit(11))
-    few = [known.where(F.col("y") == y).orderBy(turn, "doc_id").limit(per_class) for y in (0, 1)]
+    few = [known.where(F.col("y") == y).orderBy(turn, "doc_id").limit(per_class[y]) for y in (0, 1)]
     ids = few[0].unionByName(few[1])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
     so_far = F.sum(F.coalesce(F.char_length("text"), F.lit(0))).over(Window.partitionBy("y").orderBy(turn, "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
