@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiforge.llm import secrets, simhash
+from lexiforge.llm import mixing, packing, secrets, simhash, toxicity
 from lexiforge.llm.common import table
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
     return simhash.keep_first(docs)
@@ -18,13 +23,24 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secrets.redact(docs)
 
 
-STAGES = [("near_dedup", near_dedup), ("secret_scans", secret_scans)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as its source's target asks; a last copy may be cut."""
+    return mixing.take(docs, mixing.mix(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their windows and offsets."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", toxic), ("simhash", near_dedup), ("secrets", secret_scans), ("mixing", mix), ("packing", pack)]
 
-#: The toxicity model and the tokenizer have no SQL.
+#: The toxicity model and the tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES applied to documents, one after the other."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 
 _QUERIES = {
+    "op2_license_scans": "licenses",
     "op4_packing": "packing",
+    "op5_quality": "quality",
     "op6_toxicity": "toxicity",
     "op7_simhash_near_dedup": "simhash",
     "op8_mixing": "mixing",
