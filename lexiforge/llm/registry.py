@@ -5,15 +5,18 @@ from __future__ import annotations
 import importlib
 
 _QUERIES = {
+    "op1_merkle_fixity": "fixity",
     "op2_license_scans": "licenses",
     "op4_packing": "packing",
     "op5_quality": "quality",
     "op6_toxicity": "toxicity",
     "op7_simhash_near_dedup": "simhash",
     "op8_mixing": "mixing",
+    "op9_embedding_near_dedup": "vectors",
     "op10_secret_scans": "secrets",
 }
 _SQL = {
+    "op1_merkle_fixity": ("fixity", "OP1_SQL"),
     "op10_secret_scans": ("secrets", "OP10_SQL"),
 }
 

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lexiforge.llm.common import fold_bucket, table
 
-PER_CLASS = (6000, 2000)
-SAMPLE_CHARS = 24_000_000
+PER_CLASS = (5000, 2000)
+SAMPLE_CHARS = 14_000_000
 BUCKETS = 1 << 18
 DIM = 8
 SIZES = (3, 4, 5)
