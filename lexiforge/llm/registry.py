@@ -7,6 +7,7 @@ import importlib
 _QUERIES = {
     "op1_merkle_fixity": "fixity",
     "op2_license_scans": "licenses",
+    "op3_image_copies": "images",
     "op4_packing": "packing",
     "op5_quality": "quality",
     "op6_toxicity": "toxicity",
