@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_MODULES: tuple[str, ...] = ()
+_MODULES: tuple[str, ...] = ("text_plans",)
 
 
 def _found(kind: str) -> dict:
