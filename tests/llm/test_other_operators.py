@@ -125,8 +125,8 @@ def test_leaders_find_the_same_classes(spark):
     near = [np.clip(a.astype(float) + rng.normal(0, 1, a.shape), 0, 255).astype(np.uint8) for _ in range(40)]
     far = [picture(rng) for _ in range(10)]
     rows = [(i, 96, 96, x.tobytes()) for i, x in enumerate(near + far)]
-    nodes = spark.createDataFrame(rows, "node long, width int, height int, pixels binary")
-    described = common.cut(nodes.mapInArrow(images._described, "node long, n int, points binary, bits binary, keys array<long>"))
+    media = spark.createDataFrame(rows, "media_id long, width int, height int, pixels binary")
+    described = common.cut(media.mapInArrow(images._described, "media_id long, same string, points binary, bits binary").withColumnRenamed("media_id", "node"))
     for pairwise in (3, 1000):
         edges = [tuple(r) for r in images.links(described, pairwise).collect()]
         assert components(range(50), edges) == {i: 0 if i < 40 else i for i in range(50)}
