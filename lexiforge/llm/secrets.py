@@ -63,7 +63,7 @@ _NONE = f"cast(array() as {FINDINGS})"
 
 
 def spans(text: Column, rule: Rule) -> Column:
-    """Array of (kind, start, end) of one rule's matches, in code points from 0, end exclusive.
+    """Array of (rule id, start, end) of one rule's matches, in code points from 0, end exclusive.
 
     split() gives the stretches between matches and regexp_extract_all() the matches; a running sum
     over both lengths places them.
@@ -84,7 +84,7 @@ def spans(text: Column, rule: Rule) -> Column:
             (acc["at"] + x["gap"] + x["len"]).alias("at"),
             F.when(
                 x["part"] >= rule.at_least,
-                F.concat(acc["found"], F.array(F.struct(F.lit(rule.kind).alias("kind"), (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end")))),
+                F.concat(acc["found"], F.array(F.struct(F.lit(rule.id).alias("kind"), (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end")))),
             ).otherwise(acc["found"]).alias("found"),
         ),
         lambda acc: acc["found"],
@@ -119,10 +119,10 @@ def scan_unseen(docs: DataFrame, paths: DataFrame, ledger: DataFrame | None = No
 
 
 def ordered(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Findings by start, then kind as listed."""
-    rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
+    """A ledger's findings of these rule versions as (kind, start, end), by start, then kind as listed."""
+    rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.id), F.lit(i))])
     keyed = F.transform(found, lambda x: F.struct(x["start"].alias("start"), rank[x["kind"]].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
-    return F.transform(F.array_sort(keyed), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return F.transform(F.array_sort(keyed), lambda x: F.struct(F.substring_index(x["kind"], "@", 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
 
 def findings_by_path(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -130,9 +130,9 @@ def findings_by_path(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...
 
     A blob may have several ledger rows, one for each run that added rules.
     """
-    kinds = [r.kind for r in rules]
+    ids = [r.id for r in rules]
     per_blob = ledger.where(F.size("findings") > 0).groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("all"))
-    per_blob = cut(per_blob.select("blob", ordered(F.array_distinct(F.filter("all", lambda x: x["kind"].isin(kinds))), rules).alias("findings")))
+    per_blob = cut(per_blob.select("blob", ordered(F.array_distinct(F.filter("all", lambda x: x["kind"].isin(ids))), rules).alias("findings")))
     return paths.join(per_blob, "blob", "left").select("doc_id", "blob", F.coalesce("findings", F.expr(_NONE)).alias("findings"))
 
 

@@ -104,7 +104,10 @@ class _Batch:
         self.grams = grams[order].astype(np.int32)
         self.per_word = np.bincount(rows, minlength=len(seen)).astype(np.float32)
         self.starts = np.concatenate(([0], np.cumsum(self.per_word)[:-1])).astype(np.int64)
-        self.word_of_gram = rows[order].astype(np.int32)
+
+    @property
+    def word_of_gram(self) -> np.ndarray:
+        return np.repeat(np.arange(self.n_words, dtype=np.int32), self.per_word.astype(np.int64))
 
     def docs_of_gram(self) -> np.ndarray:
         """In how many of the documents each bucket occurs; an upper bound where words of one document share it."""
@@ -151,9 +154,10 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed:
             if b.n_words:
                 d_docs = d_logits @ soft.T
                 d_flat = d_docs[b.doc] * b.share[:, None]
+                owner = b.word_of_gram
                 for d in range(DIM):
                     d_word = np.bincount(b.word, d_flat[:, d], b.n_words) / b.per_word
-                    grads[0][:, d] = np.bincount(b.grams, d_word[b.word_of_gram], BUCKETS)
+                    grads[0][:, d] = np.bincount(b.grams, d_word[owner], BUCKETS)
             step += 1
             for i, (q, g) in enumerate(zip(params, grads)):
                 first[i] = 0.9 * first[i] + 0.1 * g

@@ -84,7 +84,7 @@ def test_bounds_hold_and_few_pairs_are_computed_again():
     near = (u @ u.T >= 0.95) & ~np.eye(600, dtype=bool)
     assert (count == near.sum(1)).all() and 0 < again < 600 * 599 / 2 / 100
     q, scale, error = vectors.quantised(u)
-    assert (np.linalg.norm(u - q * scale, axis=1) <= error).all() and np.abs(q).max() <= 127
+    assert (np.linalg.norm(u - q.astype(float) * scale, axis=1) <= error).all() and np.abs(q).max() <= 127
 
 
 # Images ---------------------------------------------------------------------------------------------
