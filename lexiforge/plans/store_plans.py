@@ -27,10 +27,10 @@ def dictionary_log(spark, d):
     """Documents' first words, some in capitals, as a user's dictionary."""
     docs = documents(spark, d)
     word = F.regexp_extract("text", r"\p{L}+", 0)
-    return docs.select(F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.upper(word))).otherwise(word).alias("word"), F.get(F.array(*map(F.lit, CATEGORIES)), (F.col("doc_id") % 4).cast("int")).alias("category"), F.lit("put").alias("op"))
+    return docs.select(F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.translate(word, S.ASCII_LOWER, S.ASCII_UPPER))).otherwise(word).alias("word"), F.get(F.array(*map(F.lit, CATEGORIES)), (F.col("doc_id") % 4).cast("int")).alias("category"), F.lit("put").alias("op"))
 
 
-DICT_LOG = f"""dl as (select doc_id as seq, case when doc_id % 2 = 0 then ' ' || upper(regexp_extract(text, '\\p{{L}}+')) else regexp_extract(text, '\\p{{L}}+') end as word, ['archaic','law','vernacular','other'][doc_id % 4 + 1] as category from documents),
+DICT_LOG = f"""dl as (select doc_id as seq, case when doc_id % 2 = 0 then ' ' || translate(regexp_extract(text, '\\p{{L}}+'), '{S.ASCII_LOWER}', '{S.ASCII_UPPER}') else regexp_extract(text, '\\p{{L}}+') end as word, ['archaic','law','vernacular','other'][doc_id % 4 + 1] as category from documents),
 du as (select seq, trim(word) as word, category, translate(trim(word), '{S.ASCII_UPPER}', '{S.ASCII_LOWER}') as k from dl), dd as (select seq, word, category, k from du qualify row_number() over (partition by k, category order by seq desc) = 1)"""
 
 
