@@ -93,7 +93,9 @@ def keep_first_spans(errors: DataFrame) -> DataFrame:
     """
     rank = F.coalesce(lookup(C.SOURCE_PRIORITY, F.col("source")), F.lit(0))
     entry = F.struct("start", (-rank).alias("p"), *[c for c in errors.columns if c not in ("doc_id", "start")])
-    grouped = errors.where("not (start = 0 and end = 0)").groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    grouped = errors.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    placed = lambda x: (x["start"] != 0) | (x["end"] != 0)
+    grouped = grouped.select("doc_id", F.filter("all", placed).alias("all"), F.filter("all", lambda x: ~placed(x)).alias("rest"))
     state = F.aggregate(
         F.transform("all", lambda x, k: F.struct(x["start"].alias("s"), x["end"].alias("e"), k.alias("k"))),
         F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.expr("cast(array() as array<int>)").alias("kept")),
@@ -102,8 +104,8 @@ def keep_first_spans(errors: DataFrame) -> DataFrame:
             F.struct(x["s"].alias("start"), F.greatest(acc["end"], x["e"]).alias("end"), F.concat(acc["kept"], F.array(x["k"])).alias("kept")),
         ).otherwise(acc),
     )
-    kept = grouped.select("doc_id", F.inline(F.transform(state["kept"], lambda k: F.get("all", k)))).select(*errors.columns)
-    return kept.unionByName(errors.where("start = 0 and end = 0"))
+    kept = F.concat(F.transform(state["kept"], lambda k: F.get("all", k)), F.col("rest"))
+    return grouped.select("doc_id", F.inline(kept)).select(*errors.columns)
 
 
 def merge_in_stages(*sources: DataFrame) -> DataFrame:

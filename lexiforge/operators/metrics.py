@@ -91,13 +91,16 @@ def bigram_matrix(bigrams: DataFrame, tags: list[str], key: str = "doc_id") -> D
 
 def morph_stats(tokens: DataFrame) -> DataFrame:
     """(doc_id, category, value, n, per_100): how often a feature has a value, per 100 words."""
-    own = only_words(tokens)
-    total = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
     names = {k: v for k, v in C.FEATURES.items() if v in C.MORPH_CATEGORIES}
     say = F.create_map(*[F.lit(x) for pair in C.FEATURES.items() for x in pair])
-    values = own.select("doc_id", F.explode("feats").alias("k", "v")).where(F.col("k").isin(*names))
-    per = values.groupBy("doc_id", say[F.col("k")].alias("category"), F.lower(F.coalesce(F.try_element_at(say, F.col("v")), F.col("v"))).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return per.join(total, "doc_id").select("doc_id", "category", "value", "n", (F.col("n") * 100 / F.col("total")).alias("per_100"))
+    # An entry without a name stands for the word itself, so that one pass counts words and values alike.
+    word = F.array(F.struct(F.lit("").alias("key"), F.lit("").alias("value")))
+    entries = F.concat(F.filter(F.map_entries(F.coalesce("feats", F.expr("cast(map() as map<string,string>)"))), lambda e: e["key"].isin(*names)), word)
+    per = only_words(tokens).select("doc_id", F.inline(entries).alias("k", "v")).groupBy("doc_id", "k", "v").agg(F.count(F.lit(1)).alias("n"))
+    total = F.max(F.when(F.col("k") == "", F.col("n"))).over(Window.partitionBy("doc_id"))
+    per = per.withColumn("total", total).where("k <> ''")
+    said = F.lower(F.coalesce(F.try_element_at(say, F.col("v")), F.col("v")))
+    return per.groupBy("doc_id", say[F.col("k")].alias("category"), said.alias("value"), "total").agg(F.sum("n").alias("n")).select("doc_id", "category", "value", "n", (F.col("n") * 100 / F.col("total")).alias("per_100"))
 
 
 def _ratios(counts: DataFrame, rows: list[tuple[int, str, str]]) -> DataFrame:

@@ -106,13 +106,12 @@ def align_spans(tokens: DataFrame, docs: DataFrame) -> DataFrame:
 
     Offsets that an annotator gave are used as they are. Otherwise a token is looked for from where the
     last one ended, then from the start; not found, it has none. That is a running state per document,
-    so each document is one group.
+    so a document's tokens meet its text in one group; the text is sent once.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tok_idx")
-        low, at, out = (pdf["doc_text"].iloc[0] or "").lower(), 0, []
-        for t in pdf.itertuples():
+    def run(own: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        low, at, out = (texts["text"].iloc[0] or "").lower() if len(texts) else "", 0, []
+        for t in own.sort_values("tok_idx").itertuples():
             if t.char_start > 0 or t.char_end > 0:
                 start, end = t.char_start, t.char_end
             else:
@@ -120,15 +119,12 @@ def align_spans(tokens: DataFrame, docs: DataFrame) -> DataFrame:
                 start = low.find(word, at)
                 start = low.find(word) if start < 0 else start
                 end = start + len(t.text)
-            if start >= 0:
-                at = end
-                out.append((t.doc_id, t.tok_idx, start, end))
-            else:
-                out.append((t.doc_id, t.tok_idx, None, None))
+            at = end if start >= 0 else at
+            out.append((t.doc_id, t.tok_idx, *((start, end) if start >= 0 else (None, None))))
         return pd.DataFrame(out, columns=["doc_id", "tok_idx", "start", "end"]).astype({"start": "Int32", "end": "Int32"})
 
-    both = only_words(tokens).select("doc_id", "tok_idx", "text", F.coalesce("char_start", F.lit(0)).alias("char_start"), F.coalesce("char_end", F.lit(0)).alias("char_end")).join(docs.select("doc_id", F.col("text").alias("doc_text")), "doc_id")
-    return both.groupBy("doc_id").applyInPandas(run, "doc_id long, tok_idx int, start int, end int")
+    own = only_words(tokens).select("doc_id", "tok_idx", "text", F.coalesce("char_start", F.lit(0)).alias("char_start"), F.coalesce("char_end", F.lit(0)).alias("char_end"))
+    return own.groupBy("doc_id").cogroup(docs.select("doc_id", "text").groupBy("doc_id")).applyInPandas(run, "doc_id long, tok_idx int, start int, end int")
 
 
 def morphology_table(tokens: DataFrame) -> DataFrame:

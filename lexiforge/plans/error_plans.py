@@ -72,6 +72,41 @@ def intervals(spark, d):
     return documents(spark, d).select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("start"), (F.col("doc_id") % 300).cast("int").alias("end")), F.struct(F.lit(50).alias("start"), F.lit(40).alias("end"))))).select("doc_id", "col.*")
 
 
+def russian(spark, d):
+    """Documents in Cyrillic letters, with words of the punctuation rules in place of common ones."""
+    text = F.col("text")
+    for old, new in (("the", "который"), ("and", "потому что"), ("for", "однако"), ("les", "который"), ("und", "так как")):
+        text = F.regexp_replace(text, rf"\b{old}\b", new)
+    text = F.regexp_replace(text, r"(?m)(^|(?<=\. ))(Is|In|Le|Der) ", "Конечно ")
+    return documents(spark, d).select("doc_id", F.translate(text, "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшхыз").alias("text"))
+
+
+def syntax_tokens(spark, d):
+    """Words of those texts with places, sentences, and a tree that follows from their order: each hangs on the one before, but every few start anew."""
+    import re
+
+    import pandas as pd
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                sent, no, end = 0, 0, 0
+                for i, m in enumerate(re.finditer(r"[^\W\d_]+", text)):
+                    if re.search("[.!?]", text[end : m.start()]):
+                        sent, no = sent + 1, 0
+                    end, no = m.end(), no + 1
+                    form = "Conv" if no % 7 == 3 else "Part" if no % 7 == 5 else ""
+                    rows.append((doc_id, i, sent, no, m[0], "VERB" if form else "NOUN", {"Conv": C.GERUND, "Part": C.PARTICIPLE}.get(form, "Существительное"), no - 1 if no % 7 != 1 else 0, m.start(), m.end()))
+            yield pd.DataFrame(rows, columns=["doc_id", "tok_idx", "sent_id", "token_id", "text", "upos", "pos_label", "head", "char_start", "char_end"])
+
+    return russian(spark, d).mapInPandas(run, "doc_id long, tok_idx int, sent_id int, token_id int, text string, upos string, pos_label string, head int, char_start int, char_end int")
+
+
+def on_trees(spark, d):
+    return P.check_trees(syntax_tokens(spark, d), russian(spark, d))
+
+
 GENERATED = "g as (select doc_id, least(1.0, greatest(0, doc_id % 300) / nullif(length(text), 0)::DOUBLE) as score from documents)"
 
 QUERIES = {
@@ -94,12 +129,19 @@ QUERIES = {
     "orc_speller_check": lambda s, d: shifted(s, d).groupBy("doc_id").agg(F.max("pos").alias("last")),
     "join_overlap_dedup": lambda s, d: R.keep_first_spans(checker(s, d)),
     "err_span_priority": lambda s, d: R.keep_first_spans(checker(s, d).unionByName(speller(s, d))),
-    "set_error_union": lambda s, d: R.merge_in_stages(checker(s, d), speller(s, d), P.check_text(documents(s, d))),
-    "set_rule_union": lambda s, d: P.check(documents(s, d)),
-    "punct_kotory": lambda s, d: P.check_text(documents(s, d), ("kotory",)),
-    "punct_adverse": lambda s, d: P.check_text(documents(s, d), ("adverse",)),
-    "punct_compound": lambda s, d: P.check_text(documents(s, d), ("compound",)),
-    "punct_intro": lambda s, d: P.check_text(documents(s, d), ("intro",)),
+    "set_error_union": lambda s, d: R.merge_in_stages(checker(s, d), speller(s, d), P.check_text(russian(s, d))),
+    "set_rule_union": lambda s, d: P.check(russian(s, d)),
+    "punct_kotory": lambda s, d: P.check_text(russian(s, d), ("kotory",)),
+    "punct_adverse": lambda s, d: P.check_text(russian(s, d), ("adverse",)),
+    "punct_compound": lambda s, d: P.check_text(russian(s, d), ("compound",)),
+    "punct_intro": lambda s, d: P.check_text(russian(s, d), ("intro",)),
+    "punct_gerund": lambda s, d: on_trees(s, d).where("rule_ref like 'PUNCT:DEEPR%'"),
+    "punct_participle": lambda s, d: on_trees(s, d).where("rule_ref like 'PUNCT:PART%'"),
+    "punct_all": lambda s, d: P.check(russian(s, d), syntax_tokens(s, d)),
+    "join_subtree": lambda s, d: P.subtrees(syntax_tokens(s, d)),
+    "join_head": lambda s, d: P.heads(syntax_tokens(s, d)).where(F.col("pos_label") == C.PARTICIPLE).select("doc_id", "tok_idx", "text", "head_text"),
+    "orc_sentence_groups": lambda s, d: syntax_tokens(s, d).groupBy("doc_id", "sent_id").agg(F.count(F.lit(1)).alias("n")),
+    "punct_comma_probe": lambda s, d: documents(s, d).select("doc_id", F.substring("text", 1, 40).rlike(r"[,;:.!?\n—–(-][ \t\u00a0]*$").alias("before"), F.substring("text", 41, 40).rlike(r"^[ \t\u00a0]*[,;:.!?\n—–)-]").alias("after")),
     "agg_ai_score": lambda s, d: R.generated_score(intervals(s, d), documents(s, d)),
     "cls_ai": lambda s, d: R.generated_score(intervals(s, d), documents(s, d)).select("doc_id", X.generated_label(F.col("score")).alias("level")),
     "cls_ai_interval": lambda s, d: R.generated_score(intervals(s, d), documents(s, d)).select("doc_id", X.interval_label(F.col("score")).alias("level")),
@@ -107,6 +149,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "punct_comma_probe": "select doc_id, regexp_matches(substring(text, 1, 40), '[,;:.!?\\n—–(-][ \\t\\x{00a0}]*$') as before, regexp_matches(substring(text, 41, 40), '^[ \\t\\x{00a0}]*[,;:.!?\\n—–)-]') as after from documents",
     "prj_lt_map": f"with {MATCHES} select doc_id, error_type, subtype, fragment, suggestion, s::BIGINT as start, e::BIGINT as \"end\", rule_ref, {_context(45)} as context from lt",
     "flt_lt_skip": f"with {MATCHES} select rule_ref, count(*) as n from lt group by 1",
     "prj_speller_map": f"with {SPELLER} select doc_id, subtype, fragment, suggestion, s::BIGINT as start, {_context(40)} as context from sp",

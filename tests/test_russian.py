@@ -151,3 +151,21 @@ def test_features(spark):
     f = spark.createDataFrame([("Case=Nom|Number=Sing|Variant=Short",), ("—",), (None,)], "f string").select(T.feats_text(F.col("f"))).collect()
     assert [r[0] for r in f] == ["Падеж: именительный; Число: единственное; Variant: Short", "—", "—"]
     assert C.UPOS_NAME["NOUN"] == "Существительное"
+
+
+def test_rules_take_time_in_proportion():
+    """Many matches in one long text: each looks at its surroundings only."""
+    import time
+
+    text = "дом в котором жили и дом который построили потому что так надо " * 4000
+    began = time.process_time()
+    found = [x for rule in P.TEXT_RULES.values() for x in rule(text)]
+    assert len(found) == 12_000 and time.process_time() - began < 10
+    assert [x[5:7] for x in P.relative_clauses("а, зав который")] == [(2, 14)]
+
+
+def test_spans_are_found_forward(spark):
+    t = tokens(spark, (0, [("Он", "он", "PRON"), ("он", "он", "PRON"), ("нет", "нет", "ADV"), ("Он", "он", "PRON")])).drop("pos_label")
+    t = t.where("lemma <> 'нет'").unionByName(t.where("lemma = 'нет'").withColumn("text", F.lit("мимо")))
+    got = {r.tok_idx: (r.start, r.end) for r in T.align_spans(t, docs(spark, "Он и он")).collect()}
+    assert got == {0: (0, 2), 1: (5, 7), 2: (None, None), 3: (0, 2)}
