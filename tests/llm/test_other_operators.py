@@ -132,6 +132,27 @@ def test_leaders_find_the_same_classes(spark):
         assert components(range(50), edges) == {i: 0 if i < 40 else i for i in range(50)}
 
 
+def described_as(spark, *parts):
+    """Rows (node, points, bits) of images that hold the stated (points, descriptors)."""
+    rows = []
+    for node, (at, bits) in enumerate(parts):
+        packed = np.zeros(len(at), images._POINT)
+        packed["y"], packed["x"] = at[:, 0], at[:, 1]
+        rows.append((node, bytearray(packed.tobytes()), bytearray(np.ascontiguousarray(bits).tobytes())))
+    return spark.createDataFrame(rows, "node long, points binary, bits binary")
+
+
+def test_images_that_link_to_a_leader_are_compared_with_others_too(spark):
+    """An original links a left and a right crop that share nothing, though it links to a leader at hot keys first."""
+    rng = np.random.default_rng(5)
+    at, bits = rng.integers(10, 200, (24, 2)), rng.integers(0, 256, (24, 32), np.uint8)
+    left, right = (at[:12], bits[:12]), (at[12:], bits[12:])
+    for order in ([left, left, (at, bits), right], [right, left, (at, bits), left], [(at, bits), left, left, right]):
+        frame = described_as(spark, *order)
+        for pairwise in (1, 2, 1000):
+            assert set(components(range(4), [tuple(r) for r in images.links(frame, pairwise).collect()]).values()) == {0}
+
+
 # Pipeline -------------------------------------------------------------------------------------------
 
 
