@@ -153,6 +153,31 @@ def test_images_that_link_to_a_leader_are_compared_with_others_too(spark):
             assert set(components(range(4), [tuple(r) for r in images.links(frame, pairwise).collect()]).values()) == {0}
 
 
+def described(a):
+    return images.describe(np.ascontiguousarray(a).tobytes(), a.shape[1], a.shape[0])
+
+
+def test_crops_down_to_a_quarter_of_the_area_link():
+    rng = np.random.default_rng(12)
+    for _ in range(12):
+        a = np.clip(images.resized(rng.uniform(0, 255, (40, 40)), 4.8), 0, 255).astype(np.uint8)
+        whole = described(a)
+        for y, x, side in ((20, 15, 136), (41, 63, 96), (0, 0, 96), (96, 96, 96)):
+            assert images.agreeing(*whole, *described(a[y : y + side, x : x + side])) >= images.AGREE
+    # A contrasty part holds the strongest corners; crops without it link as well.
+    a = np.clip(128 + (a - 128.0) * np.where(np.arange(192) < 60, 1, 0.4), 0, 255).astype(np.uint8)
+    assert images.agreeing(*described(a), *described(a[50:146, 80:176])) >= images.AGREE
+
+
+def test_matching_in_blocks_changes_nothing(monkeypatch):
+    rng = np.random.default_rng(13)
+    a = picture(rng)
+    pair = (*described(a), *described(a[8:90, 6:92]))
+    want = images.agreeing(*pair)
+    monkeypatch.setattr(images, "_CELLS", 50)
+    assert images.agreeing(*pair) == want >= images.AGREE
+
+
 # Pipeline -------------------------------------------------------------------------------------------
 
 
