@@ -178,6 +178,50 @@ def test_matching_in_blocks_changes_nothing(monkeypatch):
     assert images.agreeing(*pair) == want >= images.AGREE
 
 
+def turned(a, degrees):
+    """a turned about its centre, without the rim that would come from outside."""
+    t, (h, w) = np.deg2rad(degrees), a.shape
+    yy, xx = np.mgrid[:h, :w]
+    y = h / 2 + np.cos(t) * (yy - h / 2) - np.sin(t) * (xx - w / 2)
+    x = w / 2 + np.sin(t) * (yy - h / 2) + np.cos(t) * (xx - w / 2)
+    out = a[np.clip(np.rint(y), 0, h - 1).astype(int), np.clip(np.rint(x), 0, w - 1).astype(int)]
+    return out[h // 8 : -(h // 8), w // 8 : -(w // 8)]
+
+
+def test_keys_find_what_brute_force_links():
+    """Of pairs that agreeing() links, nearly all share enough keys, whatever the edit."""
+    rng = np.random.default_rng(14)
+    keys = lambda d: set(images.join_keys(d[1]).tolist())
+    edits = {
+        "crop": lambda a: a[8:90, 6:92], "scale 0.9": lambda a: images.resized(a.astype(float), 0.9), "scale 0.8": lambda a: images.resized(a.astype(float), 0.8), "turn 90": np.rot90,
+        "turn 7": lambda a: turned(a, 7), "recompressed": lambda a: np.rint(a / 12.0) * 12 + rng.normal(0, 3, a.shape),
+    }
+    linked, found = dict.fromkeys(edits, 0), dict.fromkeys(edits, 0)
+    for _ in range(60):
+        a = picture(rng)
+        whole = described(a)
+        for name, edit in edits.items():
+            d = described(np.clip(np.rint(edit(a)), 0, 255).astype(np.uint8))
+            if images.agreeing(*whole, *d) >= images.AGREE:
+                linked[name] += 1
+                found[name] += len(keys(whole) & keys(d)) >= images.SHARED
+    print(linked, found)
+    assert all(found[e] >= 0.8 * linked[e] > 0 for e in edits) and sum(found.values()) >= 0.95 * sum(linked.values())
+
+
+def test_keys_of_hot_and_other_rounds_are_summed(spark):
+    """Two images that share one hot key and one other key are compared."""
+    rng = np.random.default_rng(15)
+    at, a, b = rng.integers(10, 200, (12, 2)), rng.integers(0, 256, (12, 32), np.uint8), 0
+    b = a ^ np.packbits(np.arange(256) % 8 == 0)[None, :]
+    b[0, :6], b[0, 16:22] = a[0, :6], a[0, 16:22]
+    assert len(np.intersect1d(images.join_keys(a), images.join_keys(b))) == 2
+    # Others share the first key alone, which makes it hot.
+    others = [(at[:1], np.concatenate([a[:1, :6], rng.integers(0, 256, (1, 26), np.uint8)], axis=1)) for _ in range(6)]
+    edges = {tuple(r) for r in images.links(described_as(spark, *others[:3], (at, a), (at, b), *others[3:]), 3).collect()}
+    assert edges == {(3, 4)}
+
+
 # Pipeline -------------------------------------------------------------------------------------------
 
 
