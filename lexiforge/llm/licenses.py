@@ -1,11 +1,11 @@
-"""License scans by a positional rare-token index of notices.
+"""License scans by a positional index of notices.
 
-The index holds, for every word of every notice, its postings (notice, position). A file's licence words
-are ranked by their rarity over all files; the postings of its rarest ones are intersected by relative
+The index holds, for every word of every notice, its postings (notice, position). The postings of all
+licence words of a file, for notices whose mandatory phrases the file has, are intersected by relative
 position: a word at p in the file and at q in a notice votes that the notice starts at p - q. An
-alignment with votes from enough of the looked-up words is compared word by word, and the notice counts
-if the rarity-weighted share of its words that agree reaches MATCH and its mandatory phrases stand
-inside the aligned stretch. Base phrases are found at every place besides.
+alignment with votes from two words is compared word by word, and the notice counts if the
+rarity-weighted share of its words that agree reaches MATCH and its mandatory phrases stand inside the
+aligned stretch. Base phrases are found at every place besides.
 
 Defined cases: a null or empty text has no words, no labels and score 0; repeated rows are scanned row
 by row; a null doc_id keeps its row; an empty table gives no rows; other columns are ignored.
@@ -58,8 +58,7 @@ NOTICES = (
     Notice("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
     Notice("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
 )
-#: How many of a file's rarest licence words are looked up, and the share of a notice's weight that must agree.
-LOOKED_UP = 32
+#: The share of a notice's weight that must agree.
 MATCH = 0.75
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -105,18 +104,19 @@ class Index:
                 at = joined.find(phrase, at + 1)
         return n, first, last, labels
 
-    def aligned(self, own: list[bytes], present: frozenset[bytes]) -> dict[str, float]:
-        """Labels of the notices found and their best share."""
-        rare = set(sorted(present & self.postings.keys(), key=lambda w: (-self.idf[w], w))[:LOOKED_UP])
+    def aligned(self, own: list[bytes], present: frozenset[bytes], joined: bytes) -> dict[str, float]:
+        """Labels of the notices found and their best share; joined: b" w w w "."""
+        # A notice whose mandatory phrases stand nowhere in the file can't be found.
+        open_notices = {t for t, must in enumerate(self.musts) if all(m in joined for m in must)}
+        at = {w: own_at for w in present if (own_at := [x for x in self.postings.get(w, ()) if x[0] in open_notices])}
         votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
         for p, w in enumerate(own):
-            if w in rare:
-                for t, q in self.postings[w]:
-                    votes[t, p - q].add(w)
+            for t, q in at.get(w, ()):
+                votes[t, p - q].add(w)
         found: dict[str, float] = {}
         for (t, start), voters in votes.items():
             line = self.lines[t]
-            if len(voters) < min(2, len(rare)):
+            if len(voters) < min(2, len(at)):
                 continue
             agree = sum(self.idf[w] for q, w in enumerate(line) if 0 <= start + q < len(own) and own[start + q] == w) / self.weights[t]
             if agree >= MATCH:
@@ -132,8 +132,9 @@ class Index:
         present = self.vocabulary.intersection(own)
         if present.isdisjoint(self.needed):
             return len(own), 0, None, None, "", "", 0.0
-        n, first, last, labels = self.base(b" " + b" ".join(own) + b" ")
-        more = self.aligned(own, present)
+        joined = b" " + b" ".join(own) + b" "
+        n, first, last, labels = self.base(joined)
+        more = self.aligned(own, present, joined)
         score = max([0.5 if n else 0.0, *more.values()])
         return len(own), n, first, last, ",".join(sorted(labels)), ",".join(sorted(labels | set(more))), score
 

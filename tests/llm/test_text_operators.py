@@ -52,6 +52,17 @@ def test_licenses(spark, small, odd, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_every_notice_of_a_file_is_found(spark):
+    """Text beside a notice takes no label away: a file of all notices has all of their labels, and so has each alone."""
+    every = [n.text for n in licenses.NOTICES]
+    texts = [" so far. ".join(every), " so far. ".join(reversed(every)), *every]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100 + i, "the plain words of other files") for i in range(50)], "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(docs).collect()}
+    labels = {n.label for n in licenses.NOTICES}
+    assert labels <= got[0] and labels <= got[1]
+    assert all(n.label in got[2 + i] for i, n in enumerate(licenses.NOTICES)) and got[100] == {""}
+
+
 # Packing --------------------------------------------------------------------------------------------
 
 
