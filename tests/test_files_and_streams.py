@@ -62,3 +62,14 @@ def test_neighbours(spark):
     v = spark.createDataFrame([("aaa", [1.0, 0.0]), ("bbb", [0.9, 0.1]), ("ccc", [0.0, 1.0]), ("ddd", [0.0, 0.0])], "word string, vec array<double>")
     got = V.nearest(v.where("word = 'aaa'"), v, 2, block=2).orderBy("no").collect()
     assert [r.neighbour for r in got] == ["bbb", "ccc"] and got[0].similarity == pytest.approx(0.9 / (0.82**0.5))
+
+
+def test_neighbours_tie_by_name(spark):
+    """Of many equal vectors the first by name are kept, however rows fall into blocks."""
+    rows = [(f"n{i * 37 % 211:03d}", [1.0, 0.5]) for i in range(211)] + [("best", [1.0, 0.0]), ("far", [-1.0, 0.1]), ("zero", [0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "word string, vec array<double>")
+    query = spark.createDataFrame([("q", [1.0, 0.0]), ("n000", [1.0, 0.5])], "word string, vec array<double>")
+    for block in (20, 4096):
+        got = sorted((r.query, r.no, r.neighbour) for r in V.nearest(query, frame, 4, block=block).collect())
+        assert got == [("n000", i, f"n{i:03d}") for i in range(1, 5)] + [("q", 1, "best"), *(("q", i + 2, f"n{i:03d}") for i in range(3))]
+    assert V.nearest(query, frame, 500).count() == 214 + 213
