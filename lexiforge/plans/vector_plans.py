@@ -81,7 +81,7 @@ def corpus(spark, d):
 
 
 def topics(spark, d):
-    return learning.train_topics(corpus(spark, d), k=4, passes=2)
+    return learning.train_topics(corpus(spark, d))
 
 
 QUERIES = {
@@ -100,7 +100,7 @@ QUERIES = {
     "ml_annotator_gate": lambda s, d: learning.gate(annotations(s, d)),
     "ml_annotator_train": predicted,
     "ml_annotator_predict": lambda s, d: predicted(s, d).groupBy("layer", "false_positive").agg(F.count(F.lit(1)).alias("n")),
-    "ml_embed_train": lambda s, d: learning.vector_table(learning.train_vectors(corpus(s, d), size=16, least=5)),
+    "ml_embed_train": lambda s, d: learning.vector_table(learning.train_vectors(corpus(s, d))),
     "ml_lda_update": lambda s, d: learning.topic_words(topics(s, d)),
     "ml_lda_topics": lambda s, d: learning.topics_of(corpus(s, d), topics(s, d)).select("doc_id", "topics"),
     "prs_expand_bars": lambda s, d: reports.relative_bars(V.expansion_counts(expanded(s, d)).withColumn("g", F.lit(1)), ["g"], "added").select("domain", "bar"),

@@ -50,3 +50,11 @@ def test_entry_works_without_the_llm_folders(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') for k in q))"], cwd=tmp_path, capture_output=True, text=True, check=True)
     n, has_ops = said.stdout.split()
     assert int(n) > 100 and has_ops == "False"
+
+
+def test_models_are_registered_with_the_reference_parameters(spark, sf):
+    rows = catalog.queries()["ml_lda_topics"](spark, sf).limit(5).collect()
+    assert rows and all(len(r.topics) == 10 for r in rows)
+    assert catalog.queries()["ml_lda_update"](spark, sf).count() == 10
+    vectors = catalog.queries()["ml_embed_train"](spark, sf)
+    assert len(vectors.first().vec) == 100
