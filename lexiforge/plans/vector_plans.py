@@ -66,9 +66,9 @@ def vec_sim(spark, d):
 
 
 def annotations(spark, d):
-    """Labelled documents as annotations: quality is the verdict, the start of the text its context."""
+    """Labelled documents as annotations: quality is the verdict, the whole text its context."""
     both = documents(spark, d).join(table(spark, d, "labels"), "doc_id")
-    return both.select(F.col("lang").alias("layer"), F.when(F.col("quality") == 1, "confirm").otherwise("exclude").alias("verdict"), F.substring("text", 1, 120).alias("context"), F.regexp_extract("text", r"\p{L}+", 0).alias("lemma"), "doc_id")
+    return both.select(F.col("lang").alias("layer"), F.when(F.col("quality") == 1, "confirm").otherwise("exclude").alias("verdict"), F.col("text").alias("context"), F.regexp_extract("text", r"\p{L}+", 0).alias("lemma"), "doc_id")
 
 
 def predicted(spark, d):
@@ -96,7 +96,7 @@ QUERIES = {
     "prs_expand_table": lambda s, d: V.expansion_counts(expanded(s, d)).select("domain", "added"),
     "agg_mean_vector": lambda s, d: means(s, d).select("doc_id", F.posexplode("vec").alias("i", "x")).select("doc_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x")),
     "cmp_vec_sim": vec_sim,
-    "ml_ctx_features": lambda s, d: annotations(s, d).select("doc_id", F.array_join(learning.context_bag(F.col("context"), F.col("lemma")), " ").alias("bag")),
+    "ml_ctx_features": lambda s, d: annotations(s, d).withColumn("context", F.substring("context", 1, 120)).select("doc_id", F.array_join(learning.context_bag(F.col("context"), F.col("lemma")), " ").alias("bag")),
     "ml_annotator_gate": lambda s, d: learning.gate(annotations(s, d)),
     "ml_annotator_train": predicted,
     "ml_annotator_predict": lambda s, d: predicted(s, d).groupBy("layer", "false_positive").agg(F.count(F.lit(1)).alias("n")),

@@ -58,3 +58,14 @@ def test_models_are_registered_with_the_reference_parameters(spark, sf):
     assert catalog.queries()["ml_lda_update"](spark, sf).count() == 10
     vectors = catalog.queries()["ml_embed_train"](spark, sf)
     assert len(vectors.first().vec) == 100
+
+
+def test_annotator_sees_whole_texts(spark, sf):
+    """The contexts that train and are judged are whole texts; a prediction follows from a text's end as well."""
+    from lexiforge.plans import vector_plans
+
+    rows = vector_plans.annotations(spark, sf)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = rows.collect()
+    assert got and all(r.context == texts[r.doc_id] for r in got) and any(len(r.context or "") > 120 for r in got)
+    assert catalog.queries()["ml_annotator_train"](spark, sf).count() == len(got)
