@@ -103,14 +103,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The document of each component whose doc_id is the smallest.
+    """One row of each component: that with the smallest doc_id, then the smallest hash of its text.
 
-    Rows that share an id stay or go together, and equal (doc_id, text) rows collapse into one.
-    Documents without an id cannot be named by a component and all stay.
+    Rows with an id come before those without; an id that stands on several rows is no reason to keep or
+    drop any of them.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return whole.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
+    # A fingerprint follows from the text, so the text's hash takes the place of the id.
+    marked = cut(fingerprints(rows.select(F.col("_text").alias("doc_id"), "text")).distinct().select(F.col("doc_id").alias("_text"), "fp"))
+    roots = cut(connected_components(links(marked.select("fp").distinct())))
+    named = marked.join(roots, marked.fp == roots.node, "left").select("_text", F.coalesce("root", "fp").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), "_text")
+    first = cut(rows.select("doc_id", "_text").join(named, "_text").groupBy("root").agg(F.min(order).alias("first")).select("first.id", F.col("first._text").alias("hash")))
+    kept = rows.join(first, (rows["_text"] == first["hash"]) & rows["doc_id"].cast("long").eqNullSafe(first["id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text"]).select(docs.columns)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

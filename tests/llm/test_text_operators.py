@@ -204,6 +204,16 @@ def test_simhash(small, odd, none):
     assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter([1, 3, 6, 7, 8, 9, None, None])
 
 
+def test_one_row_of_each_component_is_kept(spark):
+    """Copies without an id go, and an id that stands on several rows neither keeps nor drops them."""
+    a, b, c, d = (" ".join(f"{name}{i}" for i in range(60)) for name in "pqrs")
+    rows = [(1, a), (None, a), (None, a), (None, b), (None, b), (2, c), (3, c), (3, d), (4, b + ""), (5, c), (6, None), (None, None)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, a), (4, b), (2, c), (3, d), (6, None)])
+    only = spark.createDataFrame([(None, a)] * 3 + [(7, b), (7, b)], "doc_id long, text string")
+    assert Counter(map(tuple, simhash.keep_first(only).collect())) == Counter([(None, a), (7, b)])
+
+
 def test_large_buckets_lose_no_link(spark):
     """Hundreds of near fingerprints in one bucket, dealt with pair by pair and by midpoints."""
     rng = random.Random(5)
