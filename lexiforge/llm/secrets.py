@@ -12,9 +12,8 @@ a null doc_id keeps its row; extra columns are ignored by the scan and kept by r
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lexiforge.llm.common import cut, table
 
@@ -60,37 +59,35 @@ RULES = BASE + ADDED
 FINDINGS = "array<struct<kind:string,start:int,end:int>>"
 LEDGER = f"blob string, rules array<string>, findings {FINDINGS}"
 _NONE = f"cast(array() as {FINDINGS})"
+_NO_MARKS = "cast(array() as array<struct<kind:string,gap:int,len:int,good:boolean>>)"
+#: Redaction cuts a text into chunks of so many code points first, so that no cut walks through the whole text.
+CHUNK = 1024
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """Array of (rule id, start, end) of one rule's matches, in code points from 0, end exclusive.
+def marks(text: Column, rule: Rule) -> Column:
+    """One rule's matches in order: rule id, length of the stretch before each, its own, and whether it is long enough.
 
-    split() gives the stretches between matches and regexp_extract_all() the matches; a running sum
-    over both lengths places them.
+    A match's group is read from the match alone: no pattern looks beyond what it matches.
     """
     pattern = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    part = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    one = F.arrays_zip(
-        F.transform(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole)), F.char_length).alias("gap"),
-        F.transform(whole, F.char_length).alias("len"),
-        F.transform(part, F.char_length).alias("part"),
-    )
-    none = F.expr(_NONE)
-    placed = F.aggregate(
-        one,
-        F.struct(F.lit(0).alias("at"), none.alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["len"]).alias("at"),
-            F.when(
-                x["part"] >= rule.at_least,
-                F.concat(acc["found"], F.array(F.struct(F.lit(rule.id).alias("kind"), (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end")))),
-            ).otherwise(acc["found"]).alias("found"),
-        ),
-        lambda acc: acc["found"],
+    part = lambda m: F.char_length(m if rule.group == 0 else F.regexp_extract(m, rule.pattern, rule.group))
+    one = F.zip_with(
+        F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)),
+        lambda gap, m: F.struct(F.lit(rule.id).alias("kind"), F.char_length(gap).alias("gap"), F.char_length(m).alias("len"), (part(m) >= rule.at_least).alias("good")),
     )
     there = text.rlike(rule.pattern)
-    return F.when(text.contains(rule.mark) & there if rule.mark else there, placed).otherwise(none)
+    return F.when(text.contains(rule.mark) & there if rule.mark else there, F.filter(one, lambda x: x["len"].isNotNull())).otherwise(F.expr(_NO_MARKS))
+
+
+def placed(marked: DataFrame) -> DataFrame:
+    """(blob, findings) of (blob, marks) with any: each match lies behind all gaps and matches of its rule before it.
+
+    A running sum over rows, so the work is in proportion to the matches however many a text has.
+    """
+    one = marked.where(F.size("marks") > 0).select("blob", F.posexplode("marks").alias("turn", "m")).select("blob", "turn", "m.*")
+    before = Window.partitionBy("blob", "kind").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    one = one.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(before).cast("int")).where("good")
+    return one.groupBy("blob").agg(F.collect_list(F.struct("kind", (F.col("end") - F.col("len")).alias("start"), "end")).alias("findings"))
 
 
 def versions(docs: DataFrame) -> DataFrame:
@@ -114,25 +111,26 @@ def scan_unseen(docs: DataFrame, paths: DataFrame, ledger: DataFrame | None = No
     chosen = chosen.select("blob", "todo", F.coalesce("doc_id", F.lit(-(2**63))).alias("path"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     at_hand = texts.withColumn("blob", F.sha2("text", 256)).join(chosen, ["path", "blob"])
-    ran = F.concat(*[F.when(F.array_contains("todo", r.id), spans(F.col("text"), r)).otherwise(F.expr(_NONE)) for r in rules])
-    return at_hand.select("blob", F.col("todo").alias("rules"), ran.alias("findings")).dropDuplicates(["blob"])
+    ran = F.concat(*[F.when(F.array_contains("todo", r.id), marks(F.col("text"), r)).otherwise(F.expr(_NO_MARKS)) for r in rules])
+    seen = cut(at_hand.select("blob", F.col("todo").alias("rules"), ran.alias("marks")).dropDuplicates(["blob"]))
+    return seen.select("blob", "rules").join(placed(seen), "blob", "left").select("blob", "rules", F.coalesce("findings", F.expr(_NONE)).alias("findings"))
 
 
-def ordered(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """A ledger's findings of these rule versions as (kind, start, end), by start, then kind as listed."""
+def findings_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, findings) of the blobs in which these rule versions found something, by start, then kind as listed.
+
+    A blob may have several ledger rows, one for each run that added rules.
+    """
     rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.id), F.lit(i))])
-    keyed = F.transform(found, lambda x: F.struct(x["start"].alias("start"), rank[x["kind"]].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
-    return F.transform(F.array_sort(keyed), lambda x: F.struct(F.substring_index(x["kind"], "@", 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    one = ledger.select("blob", F.explode("findings").alias("f")).where(F.col("f.kind").isin([r.id for r in rules]))
+    keyed = F.struct("f.start", rank[F.col("f.kind")].alias("rank"), "f.end", F.substring_index("f.kind", "@", 1).alias("kind"))
+    whole = one.groupBy("blob").agg(F.array_sort(F.collect_set(keyed)).alias("all"))
+    return whole.select("blob", F.transform("all", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("findings"))
 
 
 def findings_by_path(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, blob, findings) for every path; of the ledger only what the given rule versions found.
-
-    A blob may have several ledger rows, one for each run that added rules.
-    """
-    ids = [r.id for r in rules]
-    per_blob = ledger.where(F.size("findings") > 0).groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("all"))
-    per_blob = cut(per_blob.select("blob", ordered(F.array_distinct(F.filter("all", lambda x: x["kind"].isin(ids))), rules).alias("findings")))
+    """(doc_id, blob, findings) for every path; of the ledger only what the given rule versions found."""
+    per_blob = cut(findings_by_blob(ledger, rules))
     return paths.join(per_blob, "blob", "left").select("doc_id", "blob", F.coalesce("findings", F.expr(_NONE)).alias("findings"))
 
 
@@ -154,25 +152,41 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(count, base), F.sha2(joined(F.filter("findings", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
 
 
-def redacted(text: Column, found: Column) -> Column:
-    """text with each stretch of overlapping findings replaced by <secret>; found is ordered by start."""
-    state = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), F.concat(acc["out"], text.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit("<secret>")).alias("out")))
-        .otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))),
-    )
-    return F.concat(state["out"], text.substr(state["at"] + 1, F.char_length(text)))
+def stretches(per_blob: DataFrame) -> DataFrame:
+    """(blob, keep, last) of (blob, findings): what to keep, as (from, to), before each stretch of overlapping findings, and where the last ends."""
+    one = per_blob.select("blob", F.posexplode("findings").alias("turn", "f")).select("blob", "turn", "f.start", "f.end")
+    sooner = Window.partitionBy("blob").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    one = one.withColumn("from", F.coalesce(F.max("end").over(sooner), F.lit(0)))
+    keep = F.when(F.col("start") >= F.col("from"), F.struct("from", F.col("start").alias("to")))
+    return one.groupBy("blob").agg(F.array_sort(F.collect_list(keep)).alias("keep"), F.max("end").alias("last"))
+
+
+def redacted(text: Column, keep: Column, last: Column) -> Column:
+    """text with <secret> after each kept stretch, and all that follows the last finding."""
+
+    def piece(chunks: Column, a: Column, b: Column) -> Column:
+        first, final = F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")
+        between = F.when(final - first > 1, F.array_join(F.slice(chunks, first + 2, final - first - 1), "")).otherwise("")
+        apart = F.concat(F.get(chunks, first).substr(a % CHUNK + 1, F.lit(CHUNK)), between, F.get(chunks, final).substr(F.lit(1), b - final * CHUNK))
+        return F.when(b <= a, "").when(first == final, F.get(chunks, first).substr(a % CHUNK + 1, b - a)).otherwise(apart)
+
+    # The chunks are bound to a lambda's variable, so that they are cut once for a text.
+    chunks = F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+    size = F.char_length(text)
+    whole = lambda c: F.concat(F.array_join(F.transform(keep, lambda x: F.concat(piece(c, x["from"], x["to"]), F.lit("<secret>"))), ""), piece(c, last, size))
+    return F.get(F.transform(chunks, whole), F.lit(0))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every secret replaced by <secret> and n_chars, where there is one, brought up to date."""
-    found, _ = scan(docs)
+    paths = cut(versions(docs))
+    per_blob = cut(stretches(findings_by_blob(scan_unseen(docs, paths))))
     path = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_lf_path")
-    hit = cut(found.where(F.size("findings") > 0).select(path, F.col("blob").alias("_lf_blob"), F.col("findings").alias("_lf_found")).distinct())
-    whole = docs.select("*", path, F.sha2(F.coalesce("text", F.lit("")), 256).alias("_lf_blob")).join(hit, ["_lf_path", "_lf_blob"], "left")
-    hidden = F.col("_lf_found").isNotNull()
-    whole = whole.withColumn("text", F.when(hidden, redacted(F.col("text"), F.col("_lf_found"))).otherwise(F.col("text")))
+    named = per_blob.select(F.col("blob").alias("_lf_blob"), F.col("keep").alias("_lf_keep"), F.col("last").alias("_lf_last"))
+    hit = cut(paths.select(path, F.col("blob").alias("_lf_blob")).distinct().join(named, "_lf_blob"))
+    whole = docs.select("*", path, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("_lf_blob")).join(hit, ["_lf_path", "_lf_blob"], "left")
+    hidden = F.col("_lf_last").isNotNull()
+    whole = whole.withColumn("text", F.when(hidden, redacted(F.col("text"), F.col("_lf_keep"), F.col("_lf_last"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         whole = whole.withColumn("n_chars", F.when(hidden, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return whole.select(docs.columns)
