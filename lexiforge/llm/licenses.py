@@ -1,11 +1,12 @@
-"""License scans by a positional index of notices.
+"""License scans by a positional index of rare words.
 
-The index holds, for every word of every notice, its postings (notice, position). The postings of all
-licence words of a file, for notices whose mandatory phrases the file has, are intersected by relative
-position: a word at p in the file and at q in a notice votes that the notice starts at p - q. An
-alignment with votes from two words is compared word by word, and the notice counts if the
-rarity-weighted share of its words that agree reaches MATCH and its mandatory phrases stand inside the
-aligned stretch. Base phrases are found at every place besides.
+For each notice, the index holds postings (notice, position) of its rarest words over all files: as many as
+carry more than the weight that a match may lack. So every place where a notice stands agrees in one of
+them, and no place is missed. A file's words are looked up there; a word at p in the file and at q in a
+notice proposes that the notice starts at p - q. Proposals of notices whose mandatory phrases the file has are
+compared word by word, and the notice counts if the rarity-weighted share of its words that agree reaches
+MATCH and its mandatory phrases stand inside the aligned stretch. Base phrases are found at every place
+besides. Long licences are indexed by paragraph, so that words added between them do not matter.
 
 Defined cases: a null or empty text has no words, no labels and score 0; repeated rows are scanned row
 by row; a null doc_id keeps its row; an empty table gives no rows; other columns are ignored.
@@ -35,7 +36,7 @@ class Notice:
     must: tuple[str, ...]
 
 
-#: Notices as they are commonly placed in files, by public licence.
+# Notices as they are commonly placed in files, and paragraphs of whole licences, by public licence.
 NOTICES = (
     Notice("mit", "released under the mit license", ("mit license",)),
     Notice("mit", "licensed under the mit license", ("mit license",)),
@@ -56,6 +57,20 @@ NOTICES = (
     Notice("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use", "source and binary forms")),
     Notice("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     Notice("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
+    Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ("without restriction", "free of charge")),
+    Notice("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("substantial portions of the software",)),
+    Notice("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", ("noninfringement", "other dealings in the software")),
+    Notice("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("appear in all copies",)),
+    Notice("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software", ("disclaims all warranties", "tortious action")),
+    Notice("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ("redistributions of source code",)),
+    Notice("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions in binary form",)),
+    Notice("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products",)),
+    Notice("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ("required by applicable law", "governing permissions and limitations")),
+    Notice("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("in the hope that it will be useful", "gnu general public license")),
+    Notice("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("copy of the mpl",)),
+    Notice("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("held liable for any damages",)),
+    Notice("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ("alter it and redistribute it freely",)),
+    Notice("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("anyone is free to copy",)),
     Notice("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
 )
 #: The share of a notice's weight that must agree.
@@ -68,6 +83,17 @@ def words(text: str | bytes | None) -> list[bytes]:
     return (text.encode() if isinstance(text, str) else text or b"").translate(_TABLE).split()
 
 
+def rarest(weights: list[float], line: list[bytes], slack: float) -> list[int]:
+    """Positions of the rarest words of a notice, as few as weigh more than slack together."""
+    taken, so_far = [], 0.0
+    for q in sorted(range(len(line)), key=lambda q: (-weights[q], line[q], q)):
+        taken.append(q)
+        so_far += weights[q]
+        if so_far > slack + 1e-6:
+            break
+    return taken
+
+
 @dataclass
 class Index:
     """idf: rarity over all files of each word of a notice or base phrase."""
@@ -82,12 +108,12 @@ class Index:
         self.musts = [[b" " + b" ".join(words(m)) + b" " for m in n.must] for n in self.notices]
         self.phrases = [(b" " + b" ".join(words(p)) + b" ", label) for p, label in BASE.items()]
         for t, line in enumerate(self.lines):
-            for q, w in enumerate(line):
-                self.postings[w].append((t, q))
+            for q in rarest([self.idf[w] for w in line], line, (1 - MATCH) * self.weights[t]):
+                self.postings[line[q]].append((t, q))
         self.vocabulary = frozenset(self.idf)
         # Without the rarest-looking word of some must phrase or base phrase, no label can come about.
-        rarest = lambda phrase: max(phrase.split(), key=lambda w: (self.idf.get(w, 0.0), w))
-        self.needed = frozenset(rarest(m) for must in self.musts for m in must[:1]) | frozenset(rarest(p) for p, _ in self.phrases)
+        least = lambda phrase: max(phrase.split(), key=lambda w: (self.idf.get(w, 0.0), w))
+        self.needed = frozenset(least(m) for must in self.musts for m in must[:1]) | frozenset(least(p) for p, _ in self.phrases)
 
     def base(self, joined: bytes) -> tuple[int, int | None, int | None, set[str]]:
         """Places of all base phrases: how many, first and last word, labels. joined: b" w w w "."""
@@ -104,26 +130,28 @@ class Index:
                 at = joined.find(phrase, at + 1)
         return n, first, last, labels
 
+    def agreement(self, t: int, start: int, own: list[bytes]) -> float:
+        """The share of notice t's weight that agrees if it starts at a word of the file; 0 without its mandatory phrases."""
+        line, low, high = self.lines[t], max(0, -start), min(len(self.lines[t]), len(own) - start)
+        share = sum(self.idf[line[q]] for q in range(low, high) if own[start + q] == line[q]) / self.weights[t]
+        if share >= MATCH:
+            stretch = b" " + b" ".join(own[start + low : start + high]) + b" "
+            if not all(m in stretch for m in self.musts[t]):
+                return 0.0
+        return min(1.0, share)
+
     def aligned(self, own: list[bytes], present: frozenset[bytes], joined: bytes) -> dict[str, float]:
         """Labels of the notices found and their best share; joined: b" w w w "."""
         # A notice whose mandatory phrases stand nowhere in the file can't be found.
         open_notices = {t for t, must in enumerate(self.musts) if all(m in joined for m in must)}
         at = {w: own_at for w in present if (own_at := [x for x in self.postings.get(w, ()) if x[0] in open_notices])}
-        votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-        for p, w in enumerate(own):
-            for t, q in at.get(w, ()):
-                votes[t, p - q].add(w)
+        starts = {(t, p - q) for p, w in enumerate(own) for t, q in at.get(w, ())}
         found: dict[str, float] = {}
-        for (t, start), voters in votes.items():
-            line = self.lines[t]
-            if len(voters) < min(2, len(at)):
-                continue
-            agree = sum(self.idf[w] for q, w in enumerate(line) if 0 <= start + q < len(own) and own[start + q] == w) / self.weights[t]
-            if agree >= MATCH:
-                stretch = b" " + b" ".join(own[max(0, start) : start + len(line)]) + b" "
-                if all(m in stretch for m in self.musts[t]):
-                    label = self.notices[t].label
-                    found[label] = max(found.get(label, 0.0), min(1.0, agree))
+        for t, start in starts:
+            share = self.agreement(t, start, own)
+            if share >= MATCH:
+                label = self.notices[t].label
+                found[label] = max(found.get(label, 0.0), share)
         return found
 
     def scan(self, raw: bytes | None) -> tuple:

@@ -64,6 +64,35 @@ def test_every_notice_of_a_file_is_found(spark):
     assert all(n.label in got[2 + i] for i, n in enumerate(licenses.NOTICES)) and got[100] == {""}
 
 
+def test_scans_equal_brute_force(spark):
+    """Every notice tried at every place of a file gives the same labels and score as the index of rare words."""
+    rng = random.Random(21)
+    other = "the of software license copyright notice public version this any permission is hereby use 2 0 words that stand elsewhere".split()
+    texts = [" ".join(n.text for n in licenses.NOTICES), "license " * 300 + "mit license", ""]
+    for _ in range(180):
+        own = [rng.choice(other) for _ in range(rng.randint(0, 40))]
+        for n in rng.sample(licenses.NOTICES, rng.randint(1, 3)):
+            line = [w if rng.random() > rng.choice([0.02, 0.1, 0.25]) else rng.choice(other) for w in n.text.split()]
+            own += line[rng.randint(0, 3) :] + [rng.choice(other) for _ in range(rng.randint(0, 8))]
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index, found = licenses.build_index(docs), 0
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        own, best = licenses.words(t), {}
+        for k, line in enumerate(index.lines):
+            for start in range(1 - len(line), len(own)):
+                same = sum(index.idf[w] for q, w in enumerate(line) if 0 <= start + q < len(own) and own[start + q] == w) / sum(index.idf[w] for w in line)
+                stretch = f" {b' '.join(own[max(0, start) : start + len(line)]).decode()} "
+                if same >= licenses.MATCH and all(f" {m} " in stretch for m in index.notices[k].must):
+                    best[index.notices[k].label] = max(best.get(index.notices[k].label, 0), same)
+        base = set(filter(None, plain_licence(t)[4].split(",")))
+        assert got[i].labels == ",".join(sorted(base | set(best)))
+        assert got[i].score == pytest.approx(max([0.5 if base else 0.0, *best.values()]))
+        found += len(best)
+    assert found > 120
+
+
 # Packing --------------------------------------------------------------------------------------------
 
 
