@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,20 +195,11 @@ def turned(a, degrees):
     return out[h // 8 : -(h // 8), w // 8 : -(w // 8)]
 
 
-def alike(s, t):
-    """What images.alike() tells, for whole columns of shapes against each other."""
-    s, t = s.view(np.uint64)[:, None], t.view(np.uint64)[None, :]
-    byte = lambda v, k: (v >> np.uint64(k)).astype(np.int64) & 255
-    turned = lambda k: (byte(s, k) - byte(t, k) + images.TURN) % 256 <= 2 * images.TURN
-    bits = np.bitwise_count((s ^ t) & np.uint64((1 << 40) - 1))
-    return turned(56) & turned(48) & (np.abs(byte(s, 40) - byte(t, 40)) <= images.LENGTH) & (bits <= images.OTHER)
-
-
 def shared(p, q):
     """How many keys count for two described images."""
     (k, s), (m, t) = images.join_keys(*p), images.join_keys(*q)
     one, two = np.isin(k, m), np.isin(m, k)
-    return int(((k[one][:, None] == m[two][None, :]) & alike(s[one], t[two])).sum())
+    return int(((k[one][:, None] == m[two][None, :]) & images.near_shapes(*np.broadcast_arrays(s[one][:, None], t[two][None, :]))).sum())
 
 
 EDITS = {
@@ -279,6 +271,20 @@ def test_keys_of_few_and_of_many_are_summed(spark):
     assert len(keys)
 
 
+def test_pairing_in_batches_equals_pairing_at_once():
+    """Keys that go on over batches, and hot ones among them, give what a plain double loop gives."""
+    rng = np.random.default_rng(18)
+    key = np.sort(np.concatenate([rng.integers(0, 60, 300), np.full(25, 30), np.full(9, 31)]))
+    node, shape = rng.integers(0, 40, len(key)), rng.integers(0, 1 << 20, len(key)) & 0x30003
+    rows = list(zip(key.tolist(), node.tolist(), shape.tolist()))
+    for pairwise in (1, 4, 9, 1000):
+        many = {k: (key == k).sum() for k in set(key.tolist())}
+        want = sorted([(None, min(n, o), max(n, o)) for x, (k, n, s) in enumerate(rows) for l, o, t in rows[:x] if k == l and n != o and many[k] <= pairwise and images.near_shapes(np.array([s]), np.array([t]))[0]] + [r for r in rows if many[r[0]] > pairwise], key=repr)
+        for size in (1, 7, 64, 1000):
+            batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in (key, node, shape)], ["key", "node", "shape"]) for i in range(0, len(key), size)]
+            assert sorted([tuple(r.values()) for b in images._paired(pairwise)(iter(batches)) for r in b.to_pylist()], key=repr) == want
+
+
 # Pipeline -------------------------------------------------------------------------------------------
 
 
