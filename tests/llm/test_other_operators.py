@@ -272,17 +272,26 @@ def test_keys_of_few_and_of_many_are_summed(spark):
 
 
 def test_pairing_in_batches_equals_pairing_at_once():
-    """Keys that go on over batches, and hot ones among them, give what a plain double loop gives."""
+    """Keys that go on over batches, and hot ones among them, give what a plain double loop gives; so do leaders."""
     rng = np.random.default_rng(18)
     key = np.sort(np.concatenate([rng.integers(0, 60, 300), np.full(25, 30), np.full(9, 31)]))
     node, shape = rng.integers(0, 40, len(key)), rng.integers(0, 1 << 20, len(key)) & 0x30003
-    rows = list(zip(key.tolist(), node.tolist(), shape.tolist()))
+    node = np.concatenate([np.sort(node[key == k]) for k in sorted(set(key.tolist()))])
+    root = node // 3
+    rows = list(zip(key.tolist(), node.tolist(), root.tolist(), shape.tolist()))
+    near = lambda s, t: images.near_shapes(np.array([s]), np.array([t]))[0]
+    many = {k: int((key == k).sum()) for k in set(key.tolist())}
+    split = lambda size: [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in (key, node, root, shape)], ["key", "node", "root", "shape"]) for i in range(0, len(key), size)]
+    got = lambda run, size: sorted([tuple(r.values()) for b in run(iter(split(size))) for r in b.to_pylist()], key=repr)
     for pairwise in (1, 4, 9, 1000):
-        many = {k: (key == k).sum() for k in set(key.tolist())}
-        want = sorted([(None, min(n, o), max(n, o)) for x, (k, n, s) in enumerate(rows) for l, o, t in rows[:x] if k == l and n != o and many[k] <= pairwise and images.near_shapes(np.array([s]), np.array([t]))[0]] + [r for r in rows if many[r[0]] > pairwise], key=repr)
-        for size in (1, 7, 64, 1000):
-            batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in (key, node, shape)], ["key", "node", "shape"]) for i in range(0, len(key), size)]
-            assert sorted([tuple(r.values()) for b in images._paired(pairwise)(iter(batches)) for r in b.to_pylist()], key=repr) == want
+        pairs = [(None, min(n, m), min(n, m), max(n, m)) for x, (k, n, r, s) in enumerate(rows) for l, m, q, t in rows[:x] if k == l and r != q and many[k] <= pairwise and near(s, t)]
+        want = sorted(pairs + [r for r in rows if many[r[0]] > pairwise], key=repr)
+        assert all(got(images._paired(pairwise), size) == want for size in (1, 7, 64, 1000))
+    heads = {}
+    for k, n, _, s in rows:
+        heads.setdefault(k, (n, s))
+    want = sorted([(heads[k][0], n) for k, n, _, s in rows if n != heads[k][0] and near(s, heads[k][1])], key=repr)
+    assert want and all(got(images._led, size) == want for size in (1, 7, 64, 1000))
 
 
 # Pipeline -------------------------------------------------------------------------------------------
