@@ -6,11 +6,12 @@ most n-grams with the word it stands for. As all of this is linear up to the sof
 can be folded into one number for scoring, and a document's score needs no matrices.
 
 Labels are learned from a bounded, documented sample: PER_CLASS rows of class 0 and 1 and at
-most SAMPLE_CHARS characters of each, taken by a hash of the id.
+most SAMPLE_CHARS characters of each, taken by a hash of the id. Only n-grams whose documents tell the classes
+apart (by the G test) have vectors, so a language with few labelled texts isn't lost among the n-grams of others.
 
 Defined cases: a null or empty text, or one without words, gets the score of the bias alone, which is
 below the threshold; repeated rows score alike; a null doc_id keeps its row and counts as held out;
-labels that are null, repeated (the largest counts) or without a document are harmless; without labels
+labels that are null, repeated (the largest counts) or without a document are harmless; equal labelled rows are learned once; without labels
 of both classes every score is the share of class 1 in the sample (0 if there are none).
 """
 
@@ -21,22 +22,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiforge.llm.common import fold_bucket, table
 
 PER_CLASS = (5000, 2000)
 SAMPLE_CHARS = 14_000_000
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 DIM = 8
-SIZES = (3, 4, 5)
-EPOCHS = 10
+SIZES = (3, 4, 5, 6, 7)
+EPOCHS = 20
 #: A small sample is gone through more often, for so many steps at least.
 LEAST_STEPS = 240
 #: How far each step draws an n-gram's whole vector to zero, against the rate: only those that keep earning it stay.
-DECAY = 0.6
+DECAY = 0.1
 #: N-grams in fewer documents of the sample have no vector.
 LEAST_DOCS = 4
+#: And those with a lower G statistic (this one comes up by chance once in a thousand) have none.
+LEAST_G = 10.83
 BATCH = 128
 THRESHOLD = 0.5
 #: Words whose scores an executor's worker remembers; when full, it starts anew.
@@ -87,7 +90,9 @@ class Model:
 
 
 class _Batch:
-    def __init__(self, texts: list[str | None], labels: np.ndarray):
+    """Documents as counts of words, and the n-grams of those words; of the latter, only those numbered 0 or more in `number`."""
+
+    def __init__(self, texts: list[str | None], labels: np.ndarray, number: np.ndarray | None = None):
         seen: dict[str, int] = {}
         ids, sizes = [], []
         for t in texts:
@@ -100,19 +105,33 @@ class _Batch:
         self.doc, self.word = (pair // max(1, len(seen))).astype(np.int32), (pair % max(1, len(seen))).astype(np.int32)
         self.share = (count / np.maximum(1, np.array(sizes))[self.doc]).astype(np.float32)
         rows, grams = ngrams(list(seen)) if seen else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        self.per_word = np.maximum(1, np.bincount(rows, minlength=len(seen))).astype(np.float32)
+        if number is not None:
+            grams = number[grams]
+            rows, grams = rows[grams >= 0], grams[grams >= 0]
         order = np.argsort(rows, kind="stable")
-        self.grams = grams[order].astype(np.int32)
-        self.per_word = np.bincount(rows, minlength=len(seen)).astype(np.float32)
-        self.starts = np.concatenate(([0], np.cumsum(self.per_word)[:-1])).astype(np.int64)
+        self.owner, self.grams = rows[order].astype(np.int32), grams[order].astype(np.int32)
+
+    def count_docs(self, often: np.ndarray) -> None:
+        """Add to often[class, bucket] in how many documents each bucket occurs."""
+        starts = np.searchsorted(self.owner, np.arange(self.n_words + 1))
+        ends = np.searchsorted(self.doc, np.arange(self.n_docs + 1))
+        for d in range(self.n_docs):
+            own = self.word[ends[d] : ends[d + 1]]
+            size = starts[own + 1] - starts[own]
+            at = np.repeat(starts[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            often[self.labels[d], np.unique(self.grams[at])] += 1
+
+
+def g_statistic(often: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The G statistic of each column of often (class, n-gram), the documents of a class that hold it, against the class sizes."""
 
-    @property
-    def word_of_gram(self) -> np.ndarray:
-        return np.repeat(np.arange(self.n_words, dtype=np.int32), self.per_word.astype(np.int64))
+    def log_likelihood(k, n, p):
+        p = np.clip(p, 1e-12, 1 - 1e-12)
+        return k * np.log(p) + (n - k) * np.log(1 - p)
 
-    def docs_of_gram(self) -> np.ndarray:
-        """In how many of the documents each bucket occurs; an upper bound where words of one document share it."""
-        docs_of_word = np.bincount(self.word, minlength=self.n_words)
-        return np.bincount(self.grams, docs_of_word[self.word_of_gram], BUCKETS).astype(np.int32)
+    both = often.sum(axis=0) / size.sum()
+    return 2 * sum(log_likelihood(often[c], size[c], often[c] / size[c]) - log_likelihood(often[c], size[c], both) for c in (0, 1))
 
 
 def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = 7, decay: float = DECAY, least_docs: int = LEAST_DOCS) -> Model:
@@ -123,41 +142,38 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed:
         return Model(np.zeros(BUCKETS), float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
-    batches = [_Batch([texts[i] for i in part], y[part]) for part in (order[a : a + BATCH] for a in range(0, len(y), BATCH))]
-    per_class = len(y) / (2 * np.bincount(y, minlength=2))
-    table = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32)
-    soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
+    parts = [order[a : a + BATCH] for a in range(0, len(y), BATCH)]
+    of = lambda part, number=None: _Batch([texts[i] for i in part], y[part], number)
+    often, size = np.zeros((2, BUCKETS)), np.bincount(y, minlength=2)
+    for part in parts:
+        of(part).count_docs(often)
+    kept = np.flatnonzero((often.sum(axis=0) >= least_docs) & (g_statistic(often, size) >= LEAST_G))
+    number = np.full(BUCKETS, -1, np.int32)
+    number[kept] = np.arange(len(kept))
+    batches = [of(part, number) for part in parts]
+    per_class = len(y) / (2 * size)
+    params = [rng.normal(0, 0.01, (len(kept), DIM)).astype(np.float32), rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
+    table, soft, bias = params
     epochs = max(epochs, -(-LEAST_STEPS // len(batches)))
-    often = np.zeros(BUCKETS, np.int32)
-    for b in batches:
-        often += b.docs_of_gram()
-    rare = often < least_docs
-    table[rare] = 0
-    params = [table, soft, bias]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for epoch in range(epochs):
         rate = 0.3 * (1 - epoch / epochs) + 0.01
         for k in rng.permutation(len(batches)):
             b = batches[k]
-            if b.n_words:
-                vectors = np.add.reduceat(table[b.grams], b.starts, axis=0) / b.per_word[:, None]
-                flat = vectors[b.word] * b.share[:, None]
-                docs = np.stack([np.bincount(b.doc, flat[:, d], b.n_docs) for d in range(DIM)], axis=1).astype(np.float32)
-            else:
-                docs = np.zeros((b.n_docs, DIM), np.float32)
+            flat = table[b.grams]
+            vectors = np.stack([np.bincount(b.owner, flat[:, d], b.n_words) for d in range(DIM)], axis=1) / b.per_word[:, None]
+            flat = vectors[b.word] * b.share[:, None]
+            docs = np.stack([np.bincount(b.doc, flat[:, d], b.n_docs) for d in range(DIM)], axis=1).astype(np.float32)
             logits = docs @ soft + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(b.n_docs), b.labels] -= 1
             d_logits = (p * per_class[b.labels][:, None] / b.n_docs).astype(np.float32)
             grads = [np.zeros_like(table), docs.T @ d_logits + 1e-4 * soft, d_logits.sum(axis=0)]
-            if b.n_words:
-                d_docs = d_logits @ soft.T
-                d_flat = d_docs[b.doc] * b.share[:, None]
-                owner = b.word_of_gram
-                for d in range(DIM):
-                    d_word = np.bincount(b.word, d_flat[:, d], b.n_words) / b.per_word
-                    grads[0][:, d] = np.bincount(b.grams, d_word[owner], BUCKETS)
+            d_flat = (d_logits @ soft.T)[b.doc] * b.share[:, None]
+            for d in range(DIM):
+                d_word = np.bincount(b.word, d_flat[:, d], b.n_words) / b.per_word
+                grads[0][:, d] = np.bincount(b.grams, d_word[b.owner], len(kept))
             step += 1
             for i, (q, g) in enumerate(zip(params, grads)):
                 first[i] = 0.9 * first[i] + 0.1 * g
@@ -166,20 +182,28 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed:
                 if i == 0:
                     norm = np.sqrt(np.einsum("ij,ij->i", q, q))
                     q *= np.maximum(0, 1 - 0.1 * rate * decay / np.maximum(norm, 1e-9))[:, None]
-                    q[rare] = 0
-    odds = soft[:, 1] - soft[:, 0]
-    return Model((table @ odds).astype(np.float64), float(bias[1] - bias[0]))
+    odds, weight = soft[:, 1] - soft[:, 0], np.zeros(BUCKETS)
+    weight[kept] = table @ odds
+    return Model(weight, float(bias[1] - bias[0]))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int] = PER_CLASS, chars: int = SAMPLE_CHARS) -> tuple[list[str | None], list[int]]:
     """Texts and labels for learning; both bounds hold for each class."""
     known = labels.where(F.col(label).isin(0, 1) & (fold_bucket(F.col("doc_id")) != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
-    turn = F.xxhash64("doc_id", F.lit(11))
-    few = [known.where(F.col("y") == y).orderBy(turn, "doc_id").limit(per_class[y]) for y in (0, 1)]
-    ids = few[0].unionByName(few[1])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    so_far = F.sum(F.coalesce(F.char_length("text"), F.lit(0))).over(Window.partitionBy("y").orderBy(turn, "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
-    got = rows.withColumn("so_far", so_far).where(F.col("so_far") <= chars).orderBy(turn, "doc_id", F.xxhash64("text")).select("text", "y").toArrow()
+    turn = [F.xxhash64("doc_id", F.lit(11)), F.col("doc_id"), F.col("row")]
+    few = [known.where(F.col("y") == y).orderBy(*turn[:2]).limit(per_class[y]) for y in (0, 1)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
+    own = rows.join(F.broadcast(few[0].unionByName(few[1])), "doc_id").groupBy("doc_id", "row", "y").agg(F.max(F.coalesce(F.char_length("text"), F.lit(0))).alias("size"))
+    taken = []
+    for y in (0, 1):
+        so_far = 0
+        for r in own.where(F.col("y") == y).orderBy(*turn).limit(per_class[y]).collect():
+            so_far += r["size"]
+            if so_far <= chars:
+                taken.append((r["doc_id"], r["row"], y))
+    # Of the rows named, which are few and no longer than the bounds, come the texts.
+    named = docs.sparkSession.createDataFrame(taken, "doc_id long, row long, y int")
+    got = rows.join(F.broadcast(named), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "y", "text").toArrow().sort_by([("y", "ascending"), ("doc_id", "ascending"), ("row", "ascending")])
     return got["text"].to_pylist(), got["y"].to_pylist()
 
 

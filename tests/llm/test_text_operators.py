@@ -196,6 +196,35 @@ def test_toxicity(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == len(ROWS)
 
 
+def test_toxicity_on_held_out_rows_of_the_tables(spark):
+    """All four languages of the tables: nine in ten held-out toxic documents are found, and clean ones are left alone."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    rows = toxicity.scores(docs, model).where("held_out").join(labels.where("toxic is not null"), "doc_id").collect()
+    found = {y: [r.predicted for r in rows if r.toxic == y] for y in (0, 1)}
+    print({y: (sum(x), len(x)) for y, x in found.items()})
+    assert np.mean(found[1]) >= 0.9 and np.mean(found[0]) <= 0.02
+    # A score is the logistic of the bias and the mean weight of the words, each the mean over its n-grams.
+    texts = [r.text for r in docs.orderBy("doc_id").limit(20).collect()]
+    for t, got in zip(texts, toxicity.scorer(model)(texts)):
+        own = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower())
+        mean = np.mean([np.mean(model.weight[toxicity.ngrams([w])[1]]) for w in own]) if own else 0.0
+        assert got == pytest.approx(1 / (1 + np.exp(-model.bias - mean)), abs=1e-9)
+
+
+def test_ngrams_are_counted_by_document_and_class():
+    texts, labels = ["aa bb aa", "bb", None, "cc bb"], np.array([0, 1, 1, 0])
+    often = np.zeros((2, toxicity.BUCKETS))
+    toxicity._Batch(texts, labels).count_docs(often)
+    want = np.zeros_like(often)
+    for t, y in zip(texts, labels):
+        for g in {g for w in toxicity.words(t) for g in toxicity.ngrams([w])[1].tolist()}:
+            want[y, g] += 1
+    assert (often == want).all()
+    g = toxicity.g_statistic(np.array([[10.0, 0.0], [10.0, 50.0]]), np.array([100, 100]))
+    assert g[0] == pytest.approx(0) and g[1] == pytest.approx(2 * (100 * np.log(0.5) - 50 * np.log(0.25) - 150 * np.log(0.75)), abs=1e-6)
+
+
 def test_word_means_is_the_mean_over_own_ngrams():
     weight = np.random.default_rng(0).normal(size=toxicity.BUCKETS)
     together = toxicity.word_means(["ab", "naïve", "x" * 30], weight)
