@@ -148,7 +148,25 @@ QUERIES = {
     "snk_skill_sentences": lambda s, d: sentence_stats(documents(s, d)).select("doc_id", X.report_volume_label(F.col("n_words")).alias("fit")),
 }
 
+#: Errors of both sources as rows in the order in which spans are kept.
+_PRIORITY = "(case source " + " ".join(f"when '{k}' then {v}" for k, v in C.SOURCE_PRIORITY.items()) + " else 0 end)"
+_LT_ROWS = f"select doc_id, error_type, subtype, fragment, subtype as description, suggestion, s, e, rule_ref, 'LT' as source, {_context(45)} as context from lt"
+_SP_ROWS = f"select doc_id, 'Орфографическая' as error_type, subtype, fragment, subtype || ': «' || fragment || '»' as description, suggestion, s, e, '' as rule_ref, 'YASPELL' as source, {_context(40)} as context from sp"
+
+
+def _kept(rows: str) -> str:
+    """Of rows with (s, e), those that overlap none kept before: each document is walked through in order."""
+    return f"""rows0 as ({rows}), ranked as (select *, row_number() over (partition by doc_id order by s, -{_PRIORITY}, error_type, subtype, fragment, description, suggestion, e, rule_ref, source, context) as i from rows0),
+    walk as (select doc_id, 0::BIGINT as i, -1::BIGINT as ks, -1::BIGINT as ke, false as kept from (select distinct doc_id from ranked)
+        union all select r.doc_id, r.i, case when r.s >= ke or r.e <= ks then r.s else ks end, case when r.s >= ke or r.e <= ks then greatest(ke, r.e) else ke end, r.s >= ke or r.e <= ks from walk w join ranked r on r.doc_id = w.doc_id and r.i = w.i + 1)
+    select r.doc_id, error_type, subtype, fragment, description, suggestion, s::INT as start, e::INT as "end", rule_ref, source, context from ranked r join walk w using (doc_id, i) where kept"""
+
+
 ORACLE = {
+    "snk_error_text": f"with {MATCHES}, o as (select *, row_number() over (partition by doc_id, error_type order by s, e, fragment) as no from lt) select doc_id, error_type, count(*) as n, string_agg(no || '. «' || fragment || '» ' || subtype || ' → ' || suggestion, chr(10) order by no) filter (no <= 15) as report from o group by all",
+    "join_overlap_dedup": f"with recursive {MATCHES}, {_kept(_LT_ROWS)}",
+    "err_span_priority": f"with recursive {MATCHES}, {SPELLER}, {_kept(_LT_ROWS + ' union all ' + _SP_ROWS)}",
+    "snk_skill_sentences": f"select doc_id, case when n >= 500 then 'fit' when n >= 200 then 'preliminary' else 'insufficient' end as fit from (select doc_id, len(regexp_extract_all(text, '{WORD}')) as n from documents)",
     "punct_comma_probe": "select doc_id, regexp_matches(substring(text, 1, 40), '[,;:.!?\\n—–(-][ \\t\\x{00a0}]*$') as before, regexp_matches(substring(text, 41, 40), '^[ \\t\\x{00a0}]*[,;:.!?\\n—–)-]') as after from documents",
     "prj_lt_map": f"with {MATCHES} select doc_id, error_type, subtype, fragment, suggestion, s::BIGINT as start, e::BIGINT as \"end\", rule_ref, {_context(45)} as context from lt",
     "flt_lt_skip": f"with {MATCHES} select rule_ref, count(*) as n from lt group by 1",

@@ -212,3 +212,9 @@ ORACLE = {
     "flt_lexicon_search": f"with {VOCAB} select domain, word from vocab where contains(word, 'th')",
     "flt_lexicon_browse": f"with {VOCAB} select domain, count(*) as n, array_to_string(list_sort(list(word)), ',') as words from vocab group by 1",
 }
+#: A share of four places as reports write it; the smallest have an exponent.
+_shown = lambda x: f"case when round({x}, 4) > 0 and round({x}, 4) < 0.001 then round({x} * 10000)::INT || '.0E-4' else round({x}, 4)::VARCHAR end"
+ORACLE["prs_domain_report"] = f"""with {SCORES}, q as (select *, greatest(0.02, max(cosine) over (partition by doc_id) * 0.25) as need from sc),
+    t as (select doc_id, domain, cosine, row_number() over (partition by doc_id order by cosine desc, domain) as no from (select * from q where cosine >= need) qualify no <= 3),
+    rows0 as (select doc_id, 1 as section, no as ord, domain as key, {_shown('cosine')} as value from t union all select doc_id, 2, row_number() over (partition by doc_id order by cosine desc, domain) - 1, domain, {_shown('cosine')} from sc)
+    select doc_id, string_agg(section || '. ' || key || ': ' || value, chr(10) order by section, ord, key) as report from rows0 group by doc_id"""

@@ -149,3 +149,13 @@ ORACLE = {
     "prs_stats_rows": f"with {DIV}, r as (select doc_id, {DIV_COLUMNS} from forms group by doc_id) " + " union all ".join(f"select doc_id, {i}::BIGINT as ord, '{k}' as key, {k}::VARCHAR as value from r" for i, k in enumerate(("n_words", "n_types", "n_hapax"))),
     "agg_inet_pages": f"select page_id, len(regexp_extract_all(html, '{C.URL}'))::BIGINT as urls, len(regexp_extract_all(html, '{C.EMOTICON}'))::BIGINT as emoticons from pages",
 }
+ORACLE["snk_inet_text"] = f"select doc_id, printf('score: %.1f%% - %s', round(score * 100, 1), {LEVEL})" + "".join(f" || chr(10) || '{k}: ' || {k}" for k in internet.FEATURES) + f" as report from (select *, score0 as score from ({INET_SCORE}))"
+_METRICS = ("n_words", "n_types", "ttr", "hapax_share", "avg_word_len", "n_sentences", "mean_len", "var_len")
+_HEAD, _TAIL = (f"case when len(w) > 6 then {long} else {short} end" for long, short in (("array_to_string(w[1:6], ' ') || '...'", "coalesce(array_to_string(w, ' '), '')"), ("'...' || array_to_string(w[-6:], ' ')", "''")))
+_REPORT = f"""with {DIV}, {SENT}, r as (select doc_id, {DIV_COLUMNS} from forms group by doc_id),
+    t as (select doc_id, k as n_sentences, coalesce(s::DOUBLE / nullif(k, 0)::DOUBLE, 0.0) as mean_len, case when k > 1 then (q * k - s * s)::DOUBLE / (k * k)::DOUBLE else 0.0 end as var_len from ({SENT_NUMBERS})),
+    d as (select doc_id, regexp_extract_all(text, '{C.CYRILLIC}') as w from documents),
+    rows0 as (select doc_id, 1 as section, 0 as ord, 'start' as key, {_HEAD} as value from d union all select doc_id, 1, 1, 'end', {_TAIL} from d where len(w) > 6
+    """ + " ".join(f"union all select doc_id, 2, {i}, '{k}', round({k}::DOUBLE, 4)::VARCHAR from r join t using (doc_id)" for i, k in enumerate(_METRICS)) + f" union all select doc_id, 9, 0, 'volume', {_report('n_words')} from r)"
+ORACLE["snk_report_docx"] = f"{_REPORT} select * from rows0"
+ORACLE["snk_report_text"] = f"{_REPORT} select doc_id, string_agg(section || '. ' || key || ': ' || value, chr(10) order by section, ord, key) as report from rows0 group by doc_id"

@@ -191,3 +191,5 @@ ORACLE = {
 }
 ORACLE["snk_heatmap"] = ORACLE["agg_bigram_matrix"]
 ORACLE["prs_index_rows"] = f"select doc_id, no, numerator, case when value is null then '—' else numerator || '/' || denominator end as shown from ({IDX})"
+_FEATS = " , ".join(f"'{k}: ' || {c}" for k, c in (("Case", "f_case"), ("Number", "f_number"), ("Poss", "f_poss"), ("PronType", "f_type"), ("Tense", "f_tense"), ("Variant", "f_variant"), ("VerbForm", "f_form")))
+ORACLE["tok_morph_table"] = f"with {ANN} select doc_id, pos_label, coalesce(nullif(concat_ws('; ', {_FEATS}), ''), '—') as feats, count(*) as n from ann group by all"

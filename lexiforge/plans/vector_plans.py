@@ -122,3 +122,5 @@ ORACLE = {
     "ml_annotator_gate": "with a as (select lang as layer, quality = 1 as y from documents join labels using (doc_id)) select layer, count(*) as n, count(distinct y) as n_classes, (select count(*) from a) >= 10 and count(*) >= 6 and count(distinct y) = 2 as trained from a group by 1",
 }
 ORACLE["prs_expand_table"] = ORACLE["ml_expand_all"]
+# Every word has one tag, so the tagged vectors have the same neighbours.
+ORACLE["ml_neighbors_rusvec"] = ORACLE["topk_neighbors"]
