@@ -78,14 +78,32 @@ def test_vectors(spark):
 
 def test_bounds_hold_and_few_pairs_are_computed_again():
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(600, 64))
-    x[300:] = x[:300] + rng.normal(0, 0.25, (300, 64))
-    count, label, again = vectors.tile_links(x, np.ones(600, np.int64))
-    u = x / np.linalg.norm(x, axis=1)[:, None]
+    x = rng.normal(size=(600, 64)) * 10.0 ** rng.integers(-200, 200, (600, 1))
+    x[300:] = x[:300] * (1 + rng.normal(0, 0.25, (300, 64)))
+    u = vectors.even(x)
+    u /= np.linalg.norm(u, axis=1)[:, None]
     near = (u @ u.T >= 0.95) & ~np.eye(600, dtype=bool)
-    assert (count == near.sum(1)).all() and 0 < again < 600 * 599 / 2 / 100
-    q, scale, error = vectors.quantised(u)
-    assert (np.linalg.norm(u - q.astype(float) * scale, axis=1) <= error).all() and np.abs(q).max() <= 127
+    ones = np.ones(600, np.int64)
+    sure, (rest, again) = vectors.sure_links(vectors.unit_tile(x), ones), vectors.open_links(x, ones)
+    assert (sure.count + rest.count == near.sum(1)).all() and 0 < again < 600 * 599 / 2 / 100
+    # Pairs left open are decided alike when only their own vectors are there, in one tile or in two.
+    part = np.flatnonzero(sure.open)
+    few, n = vectors.open_links(x[part], ones[part])
+    assert n == again and (few.count == rest.count[part]).all() and rest.count[~sure.open].sum() == 0
+    two, _ = vectors.open_links(x[:300], ones[:300], x[300:], ones[300:])
+    proved = vectors.sure_links(vectors.unit_tile(x[:300]), ones[:300], vectors.unit_tile(x[300:]), ones[300:])
+    assert (two.count + proved.count == np.concatenate([near[:300, 300:].sum(1), near[300:, :300].sum(1)])).all()
+    q = vectors.quantised(u)
+    assert q.cells.dtype == np.int8 and (np.linalg.norm(u - q.cells.astype(float) * q.scale, axis=1) <= q.error).all() and np.abs(q.cells.astype(int)).max() <= 127
+
+
+def test_long_vectors_stay_exact():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 2500))
+    x[20:] = x[:20] + rng.normal(0, 0.32, (20, 2500))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    sure, (rest, _) = vectors.sure_links(vectors.unit_tile(x), np.ones(40, np.int64)), vectors.open_links(x, np.ones(40, np.int64))
+    assert (sure.count + rest.count == ((u @ u.T >= 0.95) & ~np.eye(40, dtype=bool)).sum(1)).all()
 
 
 # Images ---------------------------------------------------------------------------------------------
