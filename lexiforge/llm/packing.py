@@ -23,7 +23,6 @@ END = 0
 #: Pieces that are packed together in one task; the least full windows of a shard are few against it.
 SHARD = 16_384
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
-_SPECIAL = "<|endoftext|>"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _loaded: dict = {}
 
@@ -31,7 +30,7 @@ _loaded: dict = {}
 class _Tokenizer:
     """The ids of the JSON tokenizer; its vocabulary as ranks gives the same ids in a quarter of the time.
 
-    They differ only where a text holds the special token's string, which then goes to the JSON tokenizer.
+    They differ only where a text holds the string of an added token, which then goes to the JSON tokenizer.
     """
 
     def __init__(self, vocabulary: str, ranks: str):
@@ -43,9 +42,10 @@ class _Tokenizer:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("lexiforge", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.slow = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
 
     def ids(self, text: str) -> np.ndarray:
-        if _SPECIAL in text:
+        if any(t in text for t in self.added):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
 

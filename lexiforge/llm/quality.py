@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexiforge.llm.common import cut, fold_bucket, table
 
@@ -54,15 +54,20 @@ def statistics(text: str | None) -> list[float]:
 
 
 def _rows(batches):
+    """The last column is the text, which its statistics replace."""
     for batch in batches:
-        found = [list(map(float, statistics(t))) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "held_out", "x"])
+        found = [list(map(float, statistics(t))) for t in batch.columns[-1].to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "x"])
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, x): x holds STATISTICS in order."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_bucket(F.col("doc_id")) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_rows, "doc_id long, held_out boolean, x array<double>")
+def measured(docs: DataFrame, **more: Column) -> DataFrame:
+    """(doc_id, held_out, ..., x): x holds STATISTICS in order; columns of docs may be carried along by name."""
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), (fold_bucket(F.col("doc_id")) == 0).alias("held_out"),
+        *[c.alias(name) for name, c in more.items()], F.col("text").cast("string").alias("text"),
+    )
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema[2:-1])
+    return rows.mapInArrow(_rows, f"doc_id long, held_out boolean, {kinds}x array<double>")
 
 
 @dataclass(frozen=True)
@@ -131,24 +136,35 @@ def discriminant(sums: dict[int, np.ndarray]) -> Discriminant:
     return Discriminant(centre, scale, (means[0], means[1]), tuple(factors), tuple(levels))
 
 
-def scores(rows: DataFrame, model: Discriminant) -> DataFrame:
-    """(doc_id, held_out, score, predicted) from measured rows."""
+def with_score(rows: DataFrame, model: Discriminant) -> DataFrame:
+    """Measured rows with their score in place of x."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    kept = [f for f in rows.schema if f.name != "x"]
 
     def run(batches):
         for batch in batches:
-            x = np.array(batch.column(2).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            x = np.array(batch.columns[-1].to_pylist(), np.float64).reshape(batch.num_rows, -1)
             found = shared.value.scores(x) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*batch.schema.names[:-1], "score"])
+
+    return rows.select(*[f.name for f in kept], "x").mapInArrow(run, "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept) + "score double")
+
+
+def scores(rows: DataFrame, model: Discriminant) -> DataFrame:
+    """(doc_id, held_out, score, predicted) from measured rows."""
+    return with_score(rows.select("doc_id", "held_out", "x"), model).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
-    return rows.select("doc_id", "held_out", "x").mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+def learned(rows: DataFrame, labels: DataFrame, label: str = "quality") -> Discriminant:
+    """Learned from the labelled ones of measured rows that are not held out."""
+    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("y"))
+    return fit(rows.where("not held_out").select("doc_id", "x").join(known, "doc_id"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """Every document scored; learned from the labelled rows that are not held out."""
+    """Every document scored."""
     rows = cut(measured(docs))
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("y"))
-    return scores(rows, fit(rows.where("not held_out").join(known, "doc_id")))
+    return scores(rows, learned(rows, labels, label))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

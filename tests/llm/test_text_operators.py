@@ -326,6 +326,51 @@ def test_mixing(small, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_places_equal_a_plain_sort(small, odd):
+    """Whole epochs, then the smallest keys of each source, however many bins and ranges there are."""
+    for docs in (small, odd):
+        rows = mixing.drawn(docs).collect()
+        groups = defaultdict(list)
+        for r in rows:
+            groups[r.source].append(r)
+        goal, want = plain_targets({s: sum(r.size for r in g) for s, g in groups.items()}), []
+        for source, g in groups.items():
+            size = sum(r.size for r in g)
+            epochs = int(goal[source] // size) if size else 0
+            rest = round(goal[source] - epochs * size)
+            for r in sorted(g, key=lambda r: (r.key, r.doc_id is not None, r.doc_id or 0, r.row)):
+                part = max(0, min(r.size, rest))
+                rest -= part
+                want.append((r.doc_id, r.size, epochs * r.size + part))
+        for per_bin in (3, mixing.PER_BIN):
+            got = [(r.doc_id, r.size, r.taken) for r in mixing.mix(docs, per_bin=per_bin).collect()]
+            assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_sources_in_many_ranges(spark):
+    rng = random.Random(8)
+    sizes = {(f"h{rng.randrange(10**6)}" if i else None): rng.choice([0, 1, 5, 40, 900]) for i in range(300)}
+    sized = spark.createDataFrame([(s if s is None else "s" + s, s, n) for s, n in sizes.items()], "name string, source string, size long").na.fill("", ["name"])
+    want = plain_targets(sizes)
+    for per_range in (7, 100_000):
+        got = {r.name[1:] or None: r.target for r in mixing.targets(sized, per_range=per_range).collect()}
+        assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], abs=1e-6) for s in want)
+
+
+def test_weights_are_quality_scores(spark, small, odd, none):
+    """Labelled documents of class 1 draw smaller keys; unlabelled tables and odd rows are mixed as well."""
+    good = [(i, f"The {i} quiet rivers of the valley run past {i * 7} old mills, and people rest there.", "a") for i in range(60)]
+    bad = [(100 + i, f"WIN | {i} | $$$ !!! ### {i * 3} %% @@ BUY ! ! | WIN WIN", "a") for i in range(60)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(r[0], int(r[0] < 100), 0) for r in good + bad], "doc_id long, quality int, toxic int")
+    weight = {r.doc_id: r.weight for r in mixing.weighed(docs, labels).collect()}
+    assert all((weight[d] > 0.5) == (d < 100) for d in weight) and min(weight.values()) == mixing.LEAST_WEIGHT
+    for table in (small, odd):
+        rows = mixing.mix(table, labels=labels).collect()
+        assert sorted(map(repr, ((r.doc_id, r.size, r.source_size, r.target) for r in rows))) == sorted(map(repr, ((r.doc_id, r.size, r.source_size, r.target) for r in mixing.mix(table).collect())))
+    assert mixing.mix(none, labels=labels).count() == 0 and mixing.mix(docs, labels=labels.limit(0)).count() == 120
+
+
 def test_taking_the_mix(odd):
     plan = mixing.mix(odd)
     taken = mixing.take(odd, plan)
