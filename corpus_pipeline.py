@@ -24,8 +24,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as its source's target asks; a last copy may be cut."""
-    return mixing.take(docs, mixing.mix(docs))
+    """Better documents come first, each as often as its source's target asks; a last copy may be cut."""
+    return mixing.take(docs, mixing.mix(docs, labels=table(spark, sf_dir, "labels")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
