@@ -23,8 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = (1, 2, 3)
 MOST = 3
 #: Keys of a source are dealt into bins of about so many, whose sums place a document without sorting the source.
-PER_BIN = 16_384
-#: Sources are put in order in ranges of about so many.
+PER_BIN = 1024
+#: Sources, and the bins of all sources, are put in order in ranges of about so many.
 PER_RANGE = 50_000
 LEAST_WEIGHT = 0.05
 _JUNK = r"[!|%$&*#<>{}\[\]=+~^\\]"
@@ -104,8 +104,9 @@ def mix(docs: DataFrame, seed: int = 42, cycle: tuple[int, ...] = CYCLE, most: i
     goals = goals.withColumn("epochs", epochs).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
     binned = sized.withColumn("bin", F.floor(F.log("key") / step))
     sums = binned.groupBy("name", "bin").agg(F.sum("size").alias("bin_size"))
-    lower = Window.partitionBy("name").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut(sums.join(goals, "name").withColumn("below", F.coalesce(F.sum("bin_size").over(lower), F.lit(0))).drop("bin_size"))
+    sums = cut(running(sums, [F.col("name").asc(), F.col("bin").asc()], {"before": F.col("bin_size")}))
+    first = sums.groupBy("name").agg(F.min("before").alias("first"))
+    sums = cut(sums.join(first.join(goals, "name"), "name").withColumn("below", F.col("before") - F.col("first")).drop("bin_size", "before", "first"))
     within = Window.partitionBy("name", "bin").orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = binned.join(sums, ["name", "bin"]).withColumn("sooner", F.col("below") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("sooner")))
