@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiforge.operators import lexicons as L, store
 from lexiforge.plans.lexicon_plans import DICT, SENTI, VOCAB, dictionary, values, vocab
-from lexiforge.plans.shared import documents
+from lexiforge.plans.shared import documents, sql_array, table
 from lexiforge.sources import files
 
 
@@ -77,13 +77,31 @@ def appended(spark, d):
     return store.corpus_stats(spark.read.parquet(path)).select("n_texts", "n_words", "ready")
 
 
+def region_lines(spark, d, encoding: str, before: str = ""):
+    """The regions' names as one file of lines in an encoding, read back as a text."""
+    path = scratch(spark)
+    names = table(spark, d, "region").orderBy("r_regionkey").select(F.concat(F.lit(before), "r_name"))
+    names.coalesce(1).write.option("encoding", encoding).text(path)
+    written = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    return files.read_texts(spark, written).select("ord", "text")
+
+
+def pasted(spark, d):
+    return files.paste(spark, list(PASTED)).select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+PASTED = ("Первый текст.", "", "A second text,\nof two lines.")
 QUERIES = {
+    "src_text": lambda s, d: region_lines(s, d, "UTF-8"), "src_local_enc": lambda s, d: region_lines(s, d, "windows-1251", "Регион "), "src_paste": pasted,
     "src_csv_auto": csv_auto, "src_csv_fixed": lambda s, d: tsv(s, d).select("lemma", F.col("rank").cast("long").alias("rank"), "pos"), "src_json_map_freq": json_map,
     "src_json_map_senti": json_senti, "src_json_list": json_list, "orc_convert_dict": convert, "snk_json_dict": versioned, "src_sqlite": appended,
 }
 _dict = f"with {DICT} select lemma, rank, pos from dict"
 _short = f"with {DICT} select lemma, rank, case when pos like 'n%' then 'noun' else pos end as pos from (select lemma, rank, case pos when 'noun' then 'noun' when 'conj' then 'conj' else 'prep' end as pos from dict)"
+_lines = lambda before: f"select 0::INT as ord, string_agg('{before}' || r_name || chr(10), '' order by r_regionkey) as text from region"
 ORACLE = {
+    "src_text": _lines(""), "src_local_enc": _lines("Регион "),
+    "src_paste": f"select i::BIGINT as doc_id, t as text, length(t)::BIGINT as n_chars from (select unnest({sql_array(PASTED)}) as t, unnest(range({len(PASTED)})) as i)",
     "src_csv_auto": _dict, "src_csv_fixed": _short, "src_json_map_freq": _dict, "src_json_map_senti": f"select * from {SENTI}", "orc_convert_dict": _short,
     "src_json_list": f"with {VOCAB} select domain, word from vocab where domain = 'en'",
     "snk_json_dict": f"with {VOCAB} select domain, count(*) + case when domain = 'en' then 1 else 0 end as n from vocab group by domain",
