@@ -161,6 +161,7 @@ QUERIES = {
     "lex_false_positive": lambda s, d: values(s, ENTRIES).select(F.lower("surface").alias("phrase")).distinct().join(layers(s, user=False), "phrase", "left_anti"),
     "lex_override": lambda s, d: L.override_hits(hits(s, d), words_of(s, ("ti", "the", "idiot"))).groupBy("layer").agg(F.count(F.lit(1)).alias("n")),
     "join_strat_word": lambda s, d: _long(hits(s, d), "tok_idx").select("doc_id", "tok_idx", "surface", "layer"),
+    "sort_hits": lambda s, d: hits(s, d).select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("tok_idx", "layer", "surface")).cast("long").alias("no"), "surface", "layer"),
     "join_strat_phrase": lambda s, d: L.layer_hits(documents(s, d), layers(s), WORD),
     "agg_strat": lambda s, d: L.layer_summary(hits(s, d)).select("doc_id", "layer", "n", F.array_join("words", ",").alias("words")),
     "agg_strat_ratio": lambda s, d: L.marked_share(hits(s, d), documents(s, d), WORD),
@@ -204,6 +205,7 @@ ORACLE = {
     "lex_false_positive": f"with {LEX.split(',' + chr(10) + 'u as')[0]} select distinct lower(surface) as phrase from {ENTRIES} where lower(surface) not in (select phrase from e2)",
     "lex_override": f"with {HITS} select layer, count(*) as n from hits where not (lemma in ('ti', 'the', 'idiot') and layer in {sql_list(C.FILTERABLE)}) group by 1",
     "join_strat_word": f"with {HITS} select doc_id, tok_idx, surface, layer from hits",
+    "sort_hits": f"with {HITS} select doc_id, row_number() over (partition by doc_id order by tok_idx, layer, surface) as no, surface, layer from hits",
     "agg_strat": f"with {HITS} select doc_id, layer, count(*) as n, array_to_string(list_sort(list(distinct lower(surface))), ',') as words from hits group by doc_id, layer",
     "agg_strat_ratio": f"with {HITS}, t as (select doc_id, len(regexp_extract_all(text, '{WORD}'))::BIGINT as total from documents), p as (select doc_id, count(*) as n_hits, count(*) filter (layer <> '{C.LITERARY}') as n_marked from hits group by 1) select t.doc_id, total, coalesce(n_hits, 0) as n_hits, coalesce(n_marked, 0) as n_marked, coalesce(coalesce(n_hits, 0)::DOUBLE / nullif(total::DOUBLE, 0), 0.0) as marked_ratio from t left join p using (doc_id)",
     "join_exclusion": f"with {EXCLUDED} select doc_id, layer, count(*) as n from rest group by all",
