@@ -29,10 +29,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
+#: Spark deletes the shuffle files of a query at its end while this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, where it outlives lost executors."""
+    """df, computed once and kept in the shared checkpoint folder, where it outlives lost executors.
+
+    What was shuffled on the way is deleted once the checkpoint is written, since nothing reads it again.
+    """
+    conf = df.sparkSession.conf
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        # The setting is read when a DataFrame is made, so that df itself would not have it.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
 def fold_bucket(doc_id: Column) -> Column:
