@@ -8,6 +8,7 @@ from lexiforge.functions import constants as C, text as X
 from lexiforge.operators import errors as R
 from lexiforge.operators import punctuation as P
 from lexiforge.operators.metrics import sentence_stats
+from lexiforge.plans import rule_sql
 from lexiforge.plans.shared import WORD, documents, sql_list, sql_map
 
 CATEGORIES = ("TYPOS", "grammar", "STYLE", "OTHER", "PUNCTUATION")
@@ -162,7 +163,7 @@ def _kept(rows: str) -> str:
     select r.doc_id, error_type, subtype, fragment, description, suggestion, s::INT as start, e::INT as "end", rule_ref, source, context from ranked r join walk w using (doc_id, i) where kept"""
 
 
-ORACLE = {
+ORACLE = rule_sql.ORACLE | {
     "snk_error_text": f"with {MATCHES}, o as (select *, row_number() over (partition by doc_id, error_type order by s, e, fragment) as no from lt) select doc_id, error_type, count(*) as n, string_agg(no || '. «' || fragment || '» ' || subtype || ' → ' || suggestion, chr(10) order by no) filter (no <= 15) as report from o group by all",
     "join_overlap_dedup": f"with recursive {MATCHES}, {_kept(_LT_ROWS)}",
     "err_span_priority": f"with recursive {MATCHES}, {SPELLER}, {_kept(_LT_ROWS + ' union all ' + _SP_ROWS)}",
