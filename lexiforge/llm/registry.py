@@ -15,10 +15,14 @@ _QUERIES = {
     "op8_mixing": "mixing",
     "op9_embedding_near_dedup": "vectors",
     "op10_secret_scans": "secrets",
+    "op11_hard_negatives": "negatives",
+    "op12_centroid_clusters": "centroids",
 }
 _SQL = {
     "op1_merkle_fixity": ("fixity", "OP1_SQL"),
     "op10_secret_scans": ("secrets", "OP10_SQL"),
+    "op11_hard_negatives": ("negatives", "OP11_SQL"),
+    "op12_centroid_clusters": ("centroids", "OP12_SQL"),
 }
 
 
