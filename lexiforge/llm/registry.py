@@ -17,6 +17,7 @@ _QUERIES = {
     "op10_secret_scans": "secrets",
     "op11_hard_negatives": "negatives",
     "op12_centroid_clusters": "centroids",
+    "op13_lm_scores": "language",
 }
 _SQL = {
     "op1_merkle_fixity": ("fixity", "OP1_SQL"),
