@@ -62,12 +62,22 @@ class Pieces:
     start: np.ndarray
 
     def __post_init__(self):
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[self.hashes >> np.uint64(42)] = True
+        self.slot = np.full(1 << 22, -1, np.int32)
+        self.slot[self.hashes >> np.uint64(42)] = np.arange(len(self.hashes))
 
-    def __reduce__(self):  # the table of bits is made again where this arrives
+    def __reduce__(self):  # the table is made again where this arrives
         return Pieces, (self.hashes, self.longest, self.start)
 
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The places in h that hold the hash of a piece, and the piece there; two pieces may share a slot, then a search decides."""
+        at = self.slot[h >> np.uint64(42)]
+        where = np.nonzero(at >= 0)
+        at, h = at[where], h[where]
+        other = np.flatnonzero(self.hashes[at] != h)
+        at[other] = np.searchsorted(self.hashes, h[other]).clip(0, len(self.hashes) - 1)
+        same = self.hashes[at] == h
+        return *(x[same] for x in where), at[same]
+
     @property
     def bytes_at(self) -> int:
         return len(self.hashes)
@@ -78,8 +88,8 @@ class Pieces:
 
 
 def _extended(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Hashes of strings that are one code point longer."""
-    h = (h ^ codes) * np.uint64(0x9E3779B97F4A7C15)
+    """Hashes of strings that are one code point longer; that of the empty string is 0."""
+    h = (h ^ (codes + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
 
 
@@ -91,7 +101,7 @@ def pieces_of(scored: dict[str, float]) -> Pieces:
     """Pieces (a word's first one begins with a space) and their ranks; every rank is a number of 0 or more."""
     hashed = []
     for piece in scored:
-        h = np.full(1, len(piece), np.uint64)
+        h = np.zeros(1, np.uint64)
         for c in code_points(piece).astype(np.uint64):
             h = _extended(h, c)
         hashed.append(h[0])
@@ -125,113 +135,91 @@ def _utf8(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lattice:
-    """Marginal log probabilities of words under weights, and expected counts of pieces."""
+    """Marginal log probabilities of words under weights, and expected counts of pieces.
+
+    Words of one length are worked on together: positions are rows, words are columns.
+    """
 
     def __init__(self, pieces: Pieces, weights: np.ndarray):
         self.pieces, self.log = pieces, np.log(weights)
 
-    def arcs(self, codes: np.ndarray, starts: int) -> tuple[np.ndarray, np.ndarray]:
-        """(piece, weight), each by slot, word and start, of codes (words x positions).
-
-        Slot 0 is a code point as its bytes (its weight is the sum of theirs), slot k a piece of k code points; without one
-        the weight is -inf. Only the first `starts` positions start an arc.
-        """
-        n, width = codes.shape
-        longest = self.pieces.longest
-        piece = np.full((longest + 1, n, starts), -1, np.int32)
-        weight = np.full((longest + 1, n, starts), -np.inf)
-        values, there = _utf8(codes[:, :starts])
-        weight[0] = (self.log[self.pieces.bytes_at + values] * there).sum(axis=0)
-        wide = codes.astype(np.uint64)
-        for k in range(1, min(longest, width) + 1):
-            m = min(starts, width - k + 1)
-            h = np.full((n, m), k, np.uint64)
-            for i in range(k):
-                h = _extended(h, wide[:, i : i + m])
-            i, j = np.nonzero(self.pieces.maybe[h >> np.uint64(42)])
-            at = np.searchsorted(self.pieces.hashes, h[i, j])
-            found = self.pieces.hashes[np.minimum(at, len(self.pieces.hashes) - 1)] == h[i, j]
-            i, j, at = i[found], j[found], at[found]
-            piece[k, i, j], weight[k, i, j] = at, self.log[at]
-        return piece, weight
-
-    def _forward(self, weight: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Log sums up to each position; before: those of the positions in front of this stretch, the last one being its start.
-
-        weight holds the arcs that start at those positions too, one slot position each.
-        """
-        lead = before.shape[1]
-        n, steps = weight.shape[1], weight.shape[2] - lead + 1
-        out = np.full((n, lead + steps), -np.inf)
-        out[:, :lead] = before
-        slot = np.r_[1, np.arange(1, self.pieces.longest + 1)]
-        for i in range(lead, lead + steps):
-            k = slot[slot <= i]
-            s = np.flatnonzero(slot <= i)
-            terms = out[:, i - k] + weight[s, :, i - k].T
-            most = terms.max(axis=1)
-            out[:, i] = most + np.log(np.exp(terms - most[:, None]).sum(axis=1))
+    def arcs(self, codes: np.ndarray, starts: int):
+        """(weights of code points as bytes: starts x words, per start the arcs (length, words, pieces), per length the same as flat arrays)."""
+        values, there = _utf8(codes[:starts])
+        as_bytes = np.einsum("kij,kij->ij", self.log[self.pieces.bytes_at + values], there)
+        wide, h, flat, by_start = codes.astype(np.uint64), np.zeros((starts, codes.shape[1]), np.uint64), [], [[] for _ in range(starts)]
+        for k in range(1, min(self.pieces.longest, len(codes)) + 1):
+            m = min(starts, len(codes) - k + 1)
+            h = _extended(h[:m], wide[k - 1 : k - 1 + m])
+            j, i, piece = self.pieces.find(h)
+            flat.append((k, j, i, piece))
+            at = np.searchsorted(j, np.arange(m + 1)).tolist()
+            for start in range(m):
+                if at[start] < at[start + 1]:
+                    own = slice(at[start], at[start + 1])
+                    by_start[start].append((k, i[own], piece[own]))
+        return as_bytes, by_start, flat
+
+    def _forward(self, as_bytes: np.ndarray, by_start: list, sums: np.ndarray) -> np.ndarray:
+        """Log sums over all ways to each position; sums: what is known of the first ones (longest + 1 rows)."""
+        out = np.concatenate([sums, np.full(as_bytes.shape, -np.inf)])
+        for j, own in enumerate(by_start):
+            out[j + 1] = np.logaddexp(out[j + 1], out[j] + as_bytes[j])
+            for k, i, piece in own:
+                out[j + k, i] = np.logaddexp(out[j + k, i], out[j, i] + self.log[piece])
         return out
 
+    def _start(self, n: int) -> np.ndarray:
+        sums = np.full((self.pieces.longest + 1, n), -np.inf)
+        sums[0] = 0
+        return sums
+
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         """Natural logarithm of each word's probability over all segmentations."""
         out = np.zeros(len(words))
         for at, codes in _by_length(words):
-            n, length = codes.shape
-            if length <= CELLS:
-                _, weight = self.arcs(codes, length)
-                out[at] = self._forward(weight, np.zeros((n, 1)))[:, -1]
-                continue
-            # One long word, stretch by stretch; arcs that reach over a border are computed again.
-            back = self.pieces.longest
-            sums = np.zeros((1, 1))
+            length, n = codes.shape
+            sums = self._start(n)
+            # A long word goes stretch by stretch; arcs that reach over a border leave their part in sums.
             for a in range(0, length, CELLS):
-                lead = min(sums.shape[1], back)
-                first, last = a - lead + 1, min(a + CELLS, length)
-                _, weight = self.arcs(codes[:, first : last + back], last - first)
-                sums = self._forward(weight, sums[:, -lead:])[:, -back:]
-            out[at] = sums[:, -1]
+                steps = min(CELLS, length - a)
+                as_bytes, by_start, _ = self.arcs(codes[a : a + steps + self.pieces.longest], steps)
+                sums = self._forward(as_bytes, by_start, sums)[steps:]
+            out[at] = sums[0]
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """How often each piece is drawn in these words, over all segmentations."""
         out = np.zeros(len(self.log))
         for at, codes in _by_length(words):
-            n, length = codes.shape
-            piece, weight = self.arcs(codes, length)
-            ahead = self._forward(weight, np.zeros((n, 1)))
-            behind = np.full((n, length + 1), -np.inf)
-            behind[:, length] = 0
-            slot = np.r_[1, np.arange(1, self.pieces.longest + 1)]
-            for i in range(length - 1, -1, -1):
-                s = np.flatnonzero(slot <= length - i)
-                terms = weight[s, :, i].T + behind[:, i + slot[s]]
-                most = terms.max(axis=1)
-                behind[:, i] = most + np.log(np.exp(terms - most[:, None]).sum(axis=1))
-            total = ahead[:, -1:] - np.log(counts[at])[:, None]
-            for s, k in enumerate(slot):
-                if k > length:
-                    break
-                here = np.exp(ahead[:, : length - k + 1] + weight[s, :, : length - k + 1] + behind[:, k:] - total)
-                if s:
-                    own = piece[s, :, : length - k + 1]
-                    out += np.bincount(own[own >= 0], here[own >= 0], len(out))
-                else:
-                    values, there = _utf8(codes)
-                    out += np.bincount((self.pieces.bytes_at + values)[there], np.broadcast_to(here, there.shape)[there], len(out))
+            length, n = codes.shape
+            as_bytes, by_start, flat = self.arcs(codes, length)
+            ahead = self._forward(as_bytes, by_start, self._start(n))
+            behind = np.zeros((length + 1, n))
+            for j in range(length - 1, -1, -1):
+                behind[j] = behind[j + 1] + as_bytes[j]
+                for k, i, piece in by_start[j]:
+                    behind[j, i] = np.logaddexp(behind[j, i], behind[j + k, i] + self.log[piece])
+            total = ahead[length] - np.log(counts[at])
+            for k, j, i, piece in flat:
+                out += np.bincount(piece, np.exp(ahead[j, i] + self.log[piece] + behind[j + k, i] - total[i]), len(out))
+            here = np.exp(ahead[:length] + as_bytes + behind[1:] - total)
+            values, there = _utf8(codes)
+            out += np.bincount((self.pieces.bytes_at + values)[there], np.broadcast_to(here, there.shape)[there], len(out))
         return out
 
 
 def _by_length(words: list[str]):
-    """(numbers of words, their code points with the mark in front) in matrices of words of one length."""
-    marked = [code_points(_MARK + w) for w in words]
-    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    """(numbers of words, their code points with the mark in front: positions x words) for words of one length, so many at a time."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    codes = code_points(_MARK + _MARK.join(words))
+    first = np.cumsum(size) - size
     order = np.argsort(size, kind="stable")
     for length in np.unique(size):
         own = order[np.searchsorted(size[order], length) : np.searchsorted(size[order], length, "right")]
         step = max(1, CELLS // int(length))
         for k in range(0, len(own), step):
-            yield own[k : k + step], np.stack([marked[i] for i in own[k : k + step]])
+            yield own[k : k + step], codes[np.arange(length)[:, None] + first[own[k : k + step]]]
 
 
 def tokens(raw: bytes | None) -> list[bytes]:
@@ -267,7 +255,9 @@ def token_counts(docs: DataFrame) -> DataFrame:
         yield flushed()
 
     rows = docs.where(~held_out(F.col("doc_id"))).select(F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # Tasks have summed their words already. Few bytes are much work in the rounds, so partitions are not to be merged by size.
+    dealt = rows.mapInArrow(run, "word string, n long").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    return dealt.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def parts(word: str) -> list[str]:

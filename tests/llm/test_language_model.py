@@ -15,7 +15,7 @@ TOY = {" ": 3.0, "a": 4.0, "b": 5.0, " a": 0.0, "ab": 1.0, " ab": 2.0, "ba": 6.0
 
 
 def weight_of(pieces, weights, piece):
-    h = np.full(1, len(piece), np.uint64)
+    h = np.zeros(1, np.uint64)
     for c in L.code_points(piece).astype(np.uint64):
         h = L._extended(h, c)
     return weights[int(np.searchsorted(pieces.hashes, h[0]))]
@@ -138,7 +138,7 @@ def test_scores_follow_from_the_weights(spark, small):
         for i in range(1, len(codes) + 1):
             total = p[i - 1] * math.prod(weights[pieces.bytes_at + b] for b in codes[i - 1].encode())
             for k in range(1, min(16, i) + 1):
-                h = np.full(1, k, np.uint64)
+                h = np.zeros(1, np.uint64)
                 for c in L.code_points(codes[i - k : i]).astype(np.uint64):
                     h = L._extended(h, c)
                 total += p[i - k] * hashes.get(int(h[0]), 0.0)
