@@ -43,7 +43,7 @@ SHARE = 500_000
 #: Distinct words that a task counts or remembers at a time.
 HELD = 300_000
 #: Documents that are scored at a time.
-AT_ONCE = 256
+AT_ONCE = 1024
 #: Code points of a lattice that are worked on at a time.
 CELLS = 1 << 16
 PART = 1024
@@ -99,13 +99,11 @@ def code_points(word: str) -> np.ndarray:
 
 def pieces_of(scored: dict[str, float]) -> Pieces:
     """Pieces (a word's first one begins with a space) and their ranks; every rank is a number of 0 or more."""
-    hashed = []
-    for piece in scored:
-        h = np.zeros(1, np.uint64)
-        for c in code_points(piece).astype(np.uint64):
-            h = _extended(h, c)
-        hashed.append(h[0])
-    hashes, order = np.array(hashed, np.uint64), np.argsort(np.array(hashed, np.uint64))
+    named, hashes = list(scored), np.zeros(len(scored), np.uint64)
+    for at, codes in _by_length([p[1:] for p in named], [p[0] for p in named]):
+        for c in codes.astype(np.uint64):
+            hashes[at] = _extended(hashes[at], c)
+    order = np.argsort(hashes)
     if len(np.unique(hashes)) < len(hashes):
         raise ValueError("two pieces share a hash")
     weight = 1 / (np.array(list(scored.values())) + 10)
@@ -145,8 +143,11 @@ class Lattice:
 
     def arcs(self, codes: np.ndarray, starts: int):
         """(weights of code points as bytes: starts x words, per start the arcs (length, words, pieces), per length the same as flat arrays)."""
-        values, there = _utf8(codes[:starts])
-        as_bytes = np.einsum("kij,kij->ij", self.log[self.pieces.bytes_at + values], there)
+        if codes.max() < 0x80:
+            as_bytes = self.log[self.pieces.bytes_at + codes[:starts].astype(np.int64)]
+        else:
+            values, there = _utf8(codes[:starts])
+            as_bytes = np.einsum("kij,kij->ij", self.log[self.pieces.bytes_at + values], there)
         wide, h, flat, by_start = codes.astype(np.uint64), np.zeros((starts, codes.shape[1]), np.uint64), [], [[] for _ in range(starts)]
         for k in range(1, min(self.pieces.longest, len(codes)) + 1):
             m = min(starts, len(codes) - k + 1)
@@ -201,18 +202,22 @@ class Lattice:
                 for k, i, piece in by_start[j]:
                     behind[j, i] = np.logaddexp(behind[j, i], behind[j + k, i] + self.log[piece])
             total = ahead[length] - np.log(counts[at])
-            for k, j, i, piece in flat:
-                out += np.bincount(piece, np.exp(ahead[j, i] + self.log[piece] + behind[j + k, i] - total[i]), len(out))
+            k = np.repeat([f[0] for f in flat], [len(f[1]) for f in flat])
+            j, i, piece = (np.concatenate([f[c] for f in flat]) for c in (1, 2, 3))
+            out += np.bincount(piece, np.exp(ahead[j, i] + self.log[piece] + behind[j + k, i] - total[i]), len(out))
             here = np.exp(ahead[:length] + as_bytes + behind[1:] - total)
-            values, there = _utf8(codes)
-            out += np.bincount((self.pieces.bytes_at + values)[there], np.broadcast_to(here, there.shape)[there], len(out))
+            if codes.max() < 0x80:
+                out += np.bincount(self.pieces.bytes_at + codes.ravel().astype(np.int64), here.ravel(), len(out))
+            else:
+                values, there = _utf8(codes)
+                out += np.bincount((self.pieces.bytes_at + values)[there], np.broadcast_to(here, there.shape)[there], len(out))
         return out
 
 
-def _by_length(words: list[str]):
+def _by_length(words: list[str], marks: list[str] | None = None):
     """(numbers of words, their code points with the mark in front: positions x words) for words of one length, so many at a time."""
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    codes = code_points(_MARK + _MARK.join(words))
+    codes = code_points("".join(map("".join, zip(marks, words))) if marks else _MARK + _MARK.join(words))
     first = np.cumsum(size) - size
     order = np.argsort(size, kind="stable")
     for length in np.unique(size):
@@ -336,20 +341,25 @@ def scores(docs: DataFrame, pieces: Pieces | None = None, rounds: int = ROUNDS,
                 known.clear()
                 new = {w for own in held for w in own}
             new = list(new)
-            known.update(zip(new, lattice.log_probabilities([w.decode() for w in new]).tolist()))
+            logs = lattice.log_probabilities([w.decode() for w in new]).tolist()
+            known.update((w, (p, base.get(w if len(w) <= KEY_BYTES else key_of(w)))) for w, p in zip(new, logs))
+            keys, times, ends = [], [], [0]
             for own in held:
-                total, sure, found, rest = ending[2], ending[0], ending[1], []
+                total, sure, found = ending[2], ending[0], ending[1]
                 for w, k in own.items():
-                    total += k * known[w]
-                    key = w if len(w) <= KEY_BYTES else key_of(w)
-                    b = base.get(key)
+                    p, b = known[w]
+                    total += k * p
                     if b is None:
-                        rest.append((key, k))
+                        keys.append(w)
+                        times.append(k)
                     else:
                         sure += k * b
                         found += k
-                rows.append((sum(own.values()) + 1, found, sure, total / _LOG10, [{"key": a, "n": k} for a, k in rest]))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("key", pa.binary()), ("n", pa.int64())]))))]
+                ends.append(len(keys))
+                rows.append((own.total() + 1, found, sure, total / _LOG10))
+            rest = pa.StructArray.from_arrays([pa.array([w if len(w) <= KEY_BYTES else key_of(w) for w in keys], pa.binary()), pa.array(times, pa.int64())], ["key", "n"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
