@@ -40,8 +40,10 @@ FOLDS = 10
 ROUNDS = 4
 PRIOR = 32_000.0
 SHARE = 500_000
-#: Distinct words that a task counts or remembers at a time.
-HELD = 300_000
+#: Distinct words that a task counts at a time, and those whose scores it remembers.
+HELD, REMEMBERED = 300_000, 500_000
+#: Distinct words whose lattices are made at a time; those of one length share their steps.
+WORDS_AT_ONCE = 100_000
 #: Documents that are scored at a time.
 AT_ONCE = 1024
 #: Code points of a lattice that are worked on at a time.
@@ -62,15 +64,15 @@ class Pieces:
     start: np.ndarray
 
     def __post_init__(self):
-        self.slot = np.full(1 << 22, -1, np.int32)
-        self.slot[self.hashes >> np.uint64(42)] = np.arange(len(self.hashes))
+        self.slot = np.full(1 << 19, -1, np.int32)
+        self.slot[self.hashes >> np.uint64(45)] = np.arange(len(self.hashes))
 
     def __reduce__(self):  # the table is made again where this arrives
         return Pieces, (self.hashes, self.longest, self.start)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """The places in h that hold the hash of a piece, and the piece there; two pieces may share a slot, then a search decides."""
-        at = self.slot[h >> np.uint64(42)]
+        at = self.slot[h >> np.uint64(45)]
         where = np.nonzero(at >= 0)
         at, h = at[where], h[where]
         other = np.flatnonzero(self.hashes[at] != h)
@@ -192,7 +194,7 @@ class Lattice:
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """How often each piece is drawn in these words, over all segmentations."""
         out = np.zeros(len(self.log))
-        for at, codes in _by_length(words):
+        for at, codes in _by_length(words):  # none without words
             length, n = codes.shape
             as_bytes, by_start, flat = self.arcs(codes, length)
             ahead = self._forward(as_bytes, by_start, self._start(n))
@@ -284,13 +286,16 @@ def estimated(pieces: Pieces, counts: DataFrame, rounds: int = ROUNDS, prior: fl
         def run(batches):
             lattice = Lattice(*shared.value)
             total = np.zeros(len(lattice.log))
+            some, n = [], []
             for batch in batches:
-                some, n = [], []
                 for word, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for part in parts(word):
-                        some.append(part)
-                        n.append(count)
-                total += lattice.expected(some, np.array(n, np.float64))
+                    own = parts(word)
+                    some += own
+                    n += [count] * len(own)
+                if len(some) > WORDS_AT_ONCE:
+                    total += lattice.expected(some, np.array(n, np.float64))
+                    some, n = [], []
+            total += lattice.expected(some, np.array(n, np.float64))
             met = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], ["piece", "n"])
 
@@ -337,7 +342,7 @@ def scores(docs: DataFrame, pieces: Pieces | None = None, rounds: int = ROUNDS,
         for batch in (b.slice(k, AT_ONCE) for b in batches for k in range(0, max(1, b.num_rows), AT_ONCE)):
             held, rows = [Counter(tokens(raw)) for raw in _raw(batch.column(2))], []
             new = {w for own in held for w in own if w not in known}
-            if len(known) + len(new) > HELD:
+            if len(known) + len(new) > REMEMBERED:
                 known.clear()
                 new = {w for own in held for w in own}
             new = list(new)
