@@ -1,11 +1,10 @@
-"""Small trainable models: the annotation filter, word embeddings, topics."""
+"""A small trainable model: the annotation filter. Word vectors are in subwords, topics in topics."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, SQLTransformer, Word2Vec, Word2VecModel
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -57,37 +56,6 @@ def false_positives(hits: DataFrame, models: dict[str, PipelineModel], sure: flo
     return out.withColumn("false_positive", F.coalesce(F.col("p_exclude") > sure, F.lit(False)))
 
 
-def train_vectors(sentences: DataFrame, size: int = 100, window: int = 5, least: int = 2, seed: int = 42) -> Word2VecModel:
-    """Embeddings of words in (lemmas); sentences of fewer than three words are left out.
-
-    Whole words only: there is no subword model here, and no training that goes on from an old model, so
-    it is trained anew on the whole corpus.
-    """
-    return Word2Vec(vectorSize=size, windowSize=window, minCount=least, seed=seed, inputCol="lemmas", outputCol="vec").fit(sentences.where(F.size("lemmas") >= 3))
-
-
-def vector_table(model: Word2VecModel) -> DataFrame:
-    return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
-
-
-def train_topics(corpus: DataFrame, k: int = 10, passes: int = 3, least: float = 2.0, most: float = 0.9, seed: int = 42) -> tuple[PipelineModel, LDAModel]:
-    """Topics over (lemmas), without words in fewer than two or in over nine tenths of the texts."""
-    counter = Pipeline(stages=[CountVectorizer(inputCol="lemmas", outputCol="features", minDF=least, maxDF=most)]).fit(corpus)
-    return counter, LDA(k=k, maxIter=passes, seed=seed, optimizer="online").fit(counter.transform(corpus))
-
-
-def topics_of(corpus: DataFrame, models: tuple[PipelineModel, LDAModel]) -> DataFrame:
-    counter, lda = models
-    return lda.transform(counter.transform(corpus)).withColumn("topics", vector_to_array("topicDistribution")).drop("features", "topicDistribution")
-
-
-def topic_words(models: tuple[PipelineModel, LDAModel], k: int = 5) -> DataFrame:
-    """(topic, words): the k strongest words of each topic."""
-    counter, lda = models
-    vocabulary = counter.stages[0].vocabulary
-    return lda.describeTopics(k).withColumn("words", F.transform("termIndices", lambda i: F.get(F.array(*map(F.lit, vocabulary)), i))).select("topic", "words")
-
-
 def save(model, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiforge.operators import lexicons as L, store
 from lexiforge.plans.lexicon_plans import DICT, SENTI, VOCAB, dictionary, values, vocab
 from lexiforge.plans.shared import documents, sql_array, table
 from lexiforge.sources import files
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; a local session without one uses a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="lexiforge-files-")
-    return f"{shared}/lexiforge-{uuid.uuid4().hex}"
+from lexiforge.sources.shared import scratch
 
 
 def as_text(rows: DataFrame, spark: SparkSession) -> str:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiforge.operators import compare, learning, neighbours as V, reports
+from lexiforge.operators import compare, learning, neighbours as V, reports, subwords, topics
 from lexiforge.operators import tokens as T
 from lexiforge.plans.shared import documents, table, tokens
+from lexiforge.sources.shared import scratch
 
 K = 5
 LIMIT = 0.35
@@ -80,8 +81,40 @@ def corpus(spark, d):
     return T.corpus_lemmas(tokens(spark, d))
 
 
-def topics(spark, d):
-    return learning.train_topics(corpus(spark, d))
+def halves(spark, d):
+    """The corpus in two halves that arrive one after the other."""
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    return corpus(spark, d).where(half == 0), corpus(spark, d).where(half == 1)
+
+
+def loaded(spark, d):
+    """Vectors of a model that was saved and loaded, of its words and of forms that it has not seen."""
+    model, path = subwords.train(corpus(spark, d)), scratch(spark)
+    subwords.save(spark, model, path)
+    model = subwords.load(spark, path)
+    words = tokens(spark, d).select(F.explode(F.array(F.col("lemma"), F.concat("lemma", F.lit("s")))).alias("word")).distinct()
+    return subwords.vectors_of(words, model)
+
+
+def continued(spark, d):
+    """A model of the first half that was saved, loaded and trained on with the second."""
+    (old, new), path = halves(spark, d), scratch(spark)
+    subwords.save(spark, subwords.train(old), path)
+    return subwords.vector_table(spark, subwords.train(new, subwords.load(spark, path)))
+
+
+def updated_topics(spark, d):
+    """Topics of the first half, saved, loaded and moved by the second alone."""
+    (old, new), path = halves(spark, d), scratch(spark)
+    topics.save(spark, topics.update(old), path)
+    return topics.update(new, topics.load(spark, path))
+
+
+def grown_by_subwords(spark, d):
+    """Dictionaries of frequent words by language, grown by a model of the corpus."""
+    from lexiforge.plans.lexicon_plans import vocab as by_language
+
+    return subwords.expand_domains(by_language(spark, d), subwords.train(corpus(spark, d)))
 
 
 QUERIES = {
@@ -100,9 +133,12 @@ QUERIES = {
     "ml_annotator_gate": lambda s, d: learning.gate(annotations(s, d)),
     "ml_annotator_train": predicted,
     "ml_annotator_predict": lambda s, d: predicted(s, d).groupBy("layer", "false_positive").agg(F.count(F.lit(1)).alias("n")),
-    "ml_embed_train": lambda s, d: learning.vector_table(learning.train_vectors(corpus(s, d))),
-    "ml_lda_update": lambda s, d: learning.topic_words(topics(s, d)),
-    "ml_lda_topics": lambda s, d: learning.topics_of(corpus(s, d), topics(s, d)).select("doc_id", "topics"),
+    "ml_embed_train": continued,
+    "ml_embed_load": loaded,
+    "ml_expand_ft": grown_by_subwords,
+    "ml_lda_update": lambda s, d: topics.topic_words(s, updated_topics(s, d)),
+    "topk_topic_words": lambda s, d: topics.topic_words(s, topics.update(corpus(s, d))),
+    "ml_lda_topics": lambda s, d: topics.topics_of(corpus(s, d), topics.update(corpus(s, d))),
     "prs_expand_bars": lambda s, d: reports.relative_bars(V.expansion_counts(expanded(s, d)).withColumn("g", F.lit(1)), ["g"], "added").select("domain", "bar"),
 }
 
