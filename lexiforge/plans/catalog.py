@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_MODULES: tuple[str, ...] = ("text_plans", "token_plans", "lexicon_plans", "compare_plans", "store_plans", "error_plans", "vector_plans", "io_plans")
+_MODULES: tuple[str, ...] = ("text_plans", "token_plans", "lexicon_plans", "compare_plans", "store_plans", "error_plans", "vector_plans", "io_plans", "office_plans")
 
 
 def _found(kind: str) -> dict:

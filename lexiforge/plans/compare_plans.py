@@ -73,7 +73,6 @@ QUERIES = {
     "cmp_pipeline": lambda s, d: _six(compared(s, d).drop("verdict"), "jaccard", "pos_similarity", "syntactic_similarity", "ttr_similarity", "bigram_similarity", "overall"),
     "cmp_verdict": lambda s, d: compared(s, d).groupBy("verdict").agg(F.count(F.lit(1)).alias("n")),
     "cls_similarity": lambda s, d: K.jaccard(pairs(s, d), lemmas(s, d)).select("left_id", "right_id", similarity_label(F.col("jaccard")).alias("level")),
-    "snk_compare_docx": lambda s, d: reports.comparison_rows(compared(s, d)),
     "orc_compare": lambda s, d: compared(s, d).join(K.common_lemmas(pairs(s, d), lemmas(s, d), 30, SERVICE), ["left_id", "right_id"], "left").select("left_id", "right_id", "verdict", F.coalesce(F.size("common"), F.lit(0)).cast("long").alias("n_common")),
 }
 
@@ -96,5 +95,5 @@ ORACLE = {
     "cls_similarity": f"with {ANN}, {PAIRS}, {LEMMAS}, {JACCARD} select left_id, right_id, case when jaccard >= 0.7 then 'high' when jaccard >= 0.5 then 'medium' when jaccard >= 0.3 then 'low' else 'minimal' end as level from jac",
 }
 _PARTS = ("overall", "jaccard", "pos_similarity", "syntactic_similarity", "ttr_similarity", "bigram_similarity")
-ORACLE["snk_compare_docx"] = f"{ALL} " + " union all ".join(f"select left_id, right_id, {i} as ord, '{k}' as key, round({k}, 3)::VARCHAR as value from whole" for i, k in enumerate(_PARTS)) + f" union all select left_id, right_id, {len(_PARTS)}, 'verdict', {VERDICT} from whole"
+COMPARED_ROWS = f"{ALL} " + " union all ".join(f"select left_id, right_id, {i} as ord, '{k}' as key, round(round({k}, 9), 3)::VARCHAR as value from whole" for i, k in enumerate(_PARTS)) + f" union all select left_id, right_id, {len(_PARTS)}, 'verdict', {VERDICT} from whole"
 ORACLE["orc_compare"] = f"{ALL}, c as (select left_id, right_id, a.lemma from pairs join lem a on a.doc_id = left_id join lem b on b.doc_id = right_id and b.lemma = a.lemma where a.lemma not in {_svc}), cc as (select left_id, right_id, least(30, count(*)) as n from c group by all) select left_id, right_id, {VERDICT} as verdict, coalesce(n, 0)::BIGINT as n_common from whole left join cc using (left_id, right_id)"

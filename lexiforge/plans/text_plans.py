@@ -112,7 +112,6 @@ QUERIES = {
     "snk_batch_docx": batch,
     "agg_batch": lambda s, d: batch(s, d).select("doc_id", "n_words", "n_errors", "fit"),
     "prs_stats_rows": stats_rows,
-    "snk_report_docx": lambda s, d: reports.full_report(documents(s, d), diversity(s, d), sentences(s, d)),
     "snk_report_text": lambda s, d: reports.as_text(reports.full_report(documents(s, d), diversity(s, d), sentences(s, d))),
     "agg_inet_pages": lambda s, d: table(s, d, "pages").select("page_id", F.regexp_count("html", F.lit(C.URL)).cast("long").alias("urls"), F.regexp_count("html", F.lit(C.EMOTICON)).cast("long").alias("emoticons")),
 }
@@ -157,5 +156,4 @@ _REPORT = f"""with {DIV}, {SENT}, r as (select doc_id, {DIV_COLUMNS} from forms
     d as (select doc_id, regexp_extract_all(text, '{C.CYRILLIC}') as w from documents),
     rows0 as (select doc_id, 1 as section, 0 as ord, 'start' as key, {_HEAD} as value from d union all select doc_id, 1, 1, 'end', {_TAIL} from d where len(w) > 6
     """ + " ".join(f"union all select doc_id, 2, {i}, '{k}', round({k}::DOUBLE, 4)::VARCHAR from r join t using (doc_id)" for i, k in enumerate(_METRICS)) + f" union all select doc_id, 9, 0, 'volume', {_report('n_words')} from r)"
-ORACLE["snk_report_docx"] = f"{_REPORT} select * from rows0"
 ORACLE["snk_report_text"] = f"{_REPORT} select doc_id, string_agg(section || '. ' || key || ': ' || value, chr(10) order by section, ord, key) as report from rows0 group by doc_id"

@@ -8,7 +8,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Encodings in the order in which they are tried.
 ENCODINGS = ("utf-8", "cp1251", "cp866", "latin-1")
@@ -118,20 +118,21 @@ def tsv_frequencies(spark: SparkSession, path: str, shadowed: bool = False) -> D
     return rows.where((F.col("lemma") != "") & (F.col("rank") > 0))
 
 
-def zip_lines(spark: SparkSession, path: str, encoding: str = "cp1251") -> DataFrame:
-    """(ord, lemma, rank, ipm, pos) of the first file in an archive, lines of rank, ipm, word, pos."""
+def docx_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, text) of all documents in a folder: their paragraphs that are not blank, a line each, tables left out."""
+    from lexiforge.sources.office import read_docx
+
+    lines = F.transform(F.filter("blocks", lambda b: ~b["kind"].isin("head", "row") & b["cells"][0].rlike(r"(?U)\S")), lambda b: b["cells"][0])
+    return read_docx(spark, path).select("name", F.array_join(lines, "\n").alias("text"))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def lines(content: pd.Series) -> pd.Series:
-        def of(raw: bytes) -> list[str]:
-            with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                return z.read(z.namelist()[0]).decode(encoding, "replace").split("\n")
 
-        return content.map(of)
+def zip_lines(spark: SparkSession, path: str, encoding: str = "cp1251") -> DataFrame:
+    """(ord, lemma, rank, ipm, pos) of lines of rank, ipm, word, pos in an archive or a folder of them; each member is read by a task of its own."""
+    from lexiforge.sources.office import archive_lines
 
-    rows = spark.read.format("binaryFile").load(path).select(F.posexplode(lines("content")).alias("ord", "line"))
+    rows = archive_lines(spark, path, encoding)
     p = F.split(F.trim("line"), r"\s+")
-    out = rows.where(F.size(p) >= 3).select(F.col("ord").cast("long").alias("ord"), F.lower(F.get(p, F.lit(2))).alias("lemma"), F.get(p, F.lit(0)).try_cast("int").alias("rank"), F.regexp_replace(F.get(p, F.lit(1)), ",", ".").try_cast("double").alias("ipm"), F.coalesce(F.get(p, F.lit(3)), F.lit("")).alias("pos"))
+    out = rows.where(F.size(p) >= 3).select(F.col("no").alias("ord"), F.lower(F.get(p, F.lit(2))).alias("lemma"), F.get(p, F.lit(0)).try_cast("int").alias("rank"), F.regexp_replace(F.get(p, F.lit(1)), ",", ".").try_cast("double").alias("ipm"), F.coalesce(F.get(p, F.lit(3)), F.lit("")).alias("pos"))
     return out.where((F.col("rank") > 0) & F.col("ipm").isNotNull())
 
 
