@@ -49,6 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
         conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have."""
+    taken, name = {c.lower() for c in df.columns}, f"_lf_{stem}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def fold_bucket(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 5; 0 marks held-out rows. A null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))

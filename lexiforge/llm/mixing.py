@@ -35,11 +35,16 @@ def junk_weight(text: Column, size: Column) -> Column:
     return F.greatest(F.lit(LEAST_WEIGHT), 1 - F.regexp_count(text, F.lit(_JUNK)) / F.greatest(size, F.lit(1)))
 
 
+def row_hash() -> Column:
+    """Tells rows of one doc_id apart by text and source."""
+    return F.xxhash64(F.col("text").cast("string"), F.col("source").cast("string"))
+
+
 def weighed(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(doc_id, source, row, size, weight): row tells rows of one doc_id apart. Texts are read once."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
-    facts = {"source": F.col("source").cast("string"), "row": F.xxhash64("text"), "size": size}
+    facts = {"source": F.col("source").cast("string"), "row": row_hash(), "size": size}
     if labels is None:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(n) for n, c in facts.items()], junk_weight(text, size).alias("weight"))
     rows = cut(quality.measured(docs, **facts))
@@ -116,11 +121,11 @@ def mix(docs: DataFrame, seed: int = 42, cycle: tuple[int, ...] = CYCLE, most: i
 def take(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it was taken, the last copy cut after its last word taken.
 
-    Equal rows are merged before the join and taken as often as all of them together.
+    Rows equal in id, text and source are merged before the join, and one is taken as often as all of them together.
     """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_lf_path")]
     plan = cut(plan.where("taken > 0").groupBy(*key, F.col("row").alias("_lf_row")).agg(F.sum("taken").alias("_lf_taken"), F.first("size").alias("_lf_size")))
-    one = docs.select("*", *key, F.xxhash64("text").alias("_lf_row"))
+    one = docs.select("*", *key, row_hash().alias("_lf_row"))
     one = one.join(plan, ["_lf_path", "_lf_row"]).dropDuplicates(["_lf_path", "_lf_row"])
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     part = (F.col("_lf_taken") % F.col("_lf_size")).cast("int")

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexiforge.llm.common import connected_components, cut, table
+from lexiforge.llm.common import connected_components, cut, fresh, table
 
 SEED = 42
 SHINGLE = 3
@@ -108,15 +108,16 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows with an id come before those without; an id that stands on several rows is no reason to keep or
     drop any of them.
     """
-    rows = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
+    text = fresh(docs, "text")
+    rows = docs.withColumn(text, F.xxhash64(F.col("text").cast("string")))
     # A fingerprint follows from the text, so the text's hash takes the place of the id.
-    marked = cut(fingerprints(rows.select(F.col("_text").alias("doc_id"), "text")).distinct().select(F.col("doc_id").alias("_text"), "fp"))
+    marked = cut(fingerprints(rows.select(F.col(text).alias("doc_id"), "text")).distinct().select(F.col("doc_id").alias(text), "fp"))
     roots = cut(connected_components(links(marked.select("fp").distinct())))
-    named = marked.join(roots, marked.fp == roots.node, "left").select("_text", F.coalesce("root", "fp").alias("root"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), "_text")
-    first = cut(rows.select("doc_id", "_text").join(named, "_text").groupBy("root").agg(F.min(order).alias("first")).select("first.id", F.col("first._text").alias("hash")))
-    kept = rows.join(first, (rows["_text"] == first["hash"]) & rows["doc_id"].cast("long").eqNullSafe(first["id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text"]).select(docs.columns)
+    named = marked.join(roots, marked.fp == roots.node, "left").select(text, F.coalesce("root", "fp").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col(text).alias("hash"))
+    first = cut(rows.select("doc_id", text).join(named, text).groupBy("root").agg(F.min(order).alias("first")).select("first.id", "first.hash"))
+    kept = rows.join(first, (rows[text] == first["hash"]) & rows["doc_id"].cast("long").eqNullSafe(first["id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", text]).select(docs.columns)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,8 +198,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int,
     for y in (0, 1):
         so_far = 0
         for r in own.where(F.col("y") == y).orderBy(*turn).limit(per_class[y]).collect():
-            so_far += r["size"]
-            if so_far <= chars:
+            if so_far + r["size"] <= chars:
+                so_far += r["size"]
                 taken.append((r["doc_id"], r["row"], y))
     # Of the rows named, which are few and no longer than the bounds, come the texts.
     named = docs.sparkSession.createDataFrame(taken, "doc_id long, row long, y int")

@@ -477,3 +477,33 @@ def test_redaction(spark, odd):
     assert got[0].text == "<secret> 😀 secret: token: abcdefgh" and got[0].n_chars == len(got[0].text) and got[50].text is None and got[None].text == "<secret>"
     assert secrets.scan(out)[0].where("size(findings) > 0").count() == 0
     assert sorted(map(repr, secrets.redact(odd).collect())) == sorted(map(repr, odd.collect()))
+
+
+# Rows and columns that were lost once ---------------------------------------------------------------
+
+
+def test_a_long_text_empties_no_class(spark):
+    rows = [(i, "clean words here " * 3) for i in range(40)] + [(i, "rude nasty words " * 3) for i in range(40, 80)] + [(i, "rude " * 30_000) for i in range(80, 84)]
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i, _ in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, y = toxicity.sample(docs, labels, "toxic", chars=100_000)
+    assert 0 < sum(y) < len(y) and max(map(len, texts)) < 100_000
+    assert sum(len(t) for t, c in zip(texts, y) if c) <= 100_000
+
+
+def test_mixing_takes_one_text_from_each_of_its_sources(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "s", "en"), (1, "a b c d", "t", "de"), (2, "e f", "t", "fr")], "doc_id long, text string, source string, lang string")
+    plan = mixing.mix(docs)
+    want = Counter()
+    for r in plan.collect():
+        want[r.doc_id] += r.taken
+    got = mixing.take(docs, plan).collect()
+    words = Counter()
+    for r in got:
+        words[r.doc_id] += len(r.text.split())
+    assert words == want and {(r.source, r.lang) for r in got if r.doc_id == 1} == {("s", "en"), ("t", "de")}
+
+
+def test_columns_with_inner_names_come_back(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "x", "y"), (2, "e f g h", "z", None)], "doc_id long, text string, _text string, _lf_text string")
+    assert sorted(map(tuple, simhash.keep_first(docs).collect())) == [(1, "a b c d", "x", "y"), (2, "e f g h", "z", None)]
