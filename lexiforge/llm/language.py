@@ -37,7 +37,7 @@ from lexiforge.llm.common import cut, table
 
 VOCABULARY = "piece_bpe_32k.model"
 FOLDS = 10
-ROUNDS = 3
+ROUNDS = 4
 PRIOR = 32_000.0
 SHARE = 500_000
 #: Distinct words that a task counts at a time, and those whose scores it remembers.
