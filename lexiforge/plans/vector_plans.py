@@ -25,6 +25,31 @@ p as (select a.word as query, b.word as neighbour, list_sum(list_transform(list_
 r as (select *, row_number() over (partition by query order by round(similarity, 12) desc, neighbour) as no from p qualify no <= {{k}})"""
 
 
+def binary(spark, d):
+    """The vectors written as one binary file, part by part, and read again in ranges of its bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lexiforge.sources import vector_files
+    from lexiforge.sources.office import place
+
+    path, rows = scratch(spark), vectors(spark, d).select("word", "vec")
+    count, dim = rows.count(), rows.select(F.size("vec")).first()[0]
+
+    def as_bytes(batches):
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([vector_files.row_bytes(b.column(0).to_pylist(), x)])], ["rows"])
+
+    store, at = place(path)
+    store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(at) as f:
+        f.write(f"{count} {dim}\n".encode())
+        for part in rows.mapInArrow(as_bytes, "rows binary").toLocalIterator():
+            f.write(part["rows"])
+    return vector_files.read_vectors(spark, path, 50_000).select("word", F.posexplode("vec").alias("i", "x")).select("word", F.col("i").cast("long").alias("i"), "x")
+
+
 def vocab(spark, d):
     return vectors(spark, d).select(F.concat(F.lit("d"), F.col("label").cast("string")).alias("domain"), "word", "vec_id").where("vec_id % 3 <> 0").select("domain", "word")
 
@@ -119,6 +144,7 @@ def grown_by_subwords(spark, d):
 
 QUERIES = {
     "src_vec_pq": lambda s, d: vectors(s, d).select("vec_id", F.round(F.aggregate(V.unit(F.col("vec")), F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm")),
+    "src_vec_bin": binary,
     "topk_neighbors": lambda s, d: near(s, d).select("query", "neighbour", F.col("no").cast("long").alias("no")),
     "ml_similar": lambda s, d: near(s, d).select("query", "neighbour", F.round("similarity", 6).alias("similarity")),
     "ml_neighbors_navec": lambda s, d: near(s, d).where(F.col("similarity") >= LIMIT).select("query", "neighbour"),
@@ -145,6 +171,7 @@ QUERIES = {
 _near = PAIR.format(where="a.vec_id % 20 = 0", k=K)
 ORACLE = {
     "src_vec_pq": f"with {VEC} select vec_id, 1.0::DOUBLE as norm from v",
+    "src_vec_bin": "select 'w' || translate(vec_id::VARCHAR, '0123456789', 'abcdefghij') as word, unnest(range(len(embedding)))::BIGINT as i, unnest(embedding) as x from embeddings",
     "topk_neighbors": f"with {_near} select query, neighbour, no from r",
     "ml_similar": f"with {_near} select query, neighbour, round(similarity, 6) as similarity from r",
     "ml_neighbors_navec": f"with {_near} select query, neighbour from r where similarity >= {LIMIT}",
