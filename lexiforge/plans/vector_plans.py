@@ -55,10 +55,10 @@ def vocab(spark, d):
 
 
 def expanded(spark, d):
-    return V.expand_domains(vocab(spark, d), vectors(spark, d).select("word", "vec"), V.TOP, LIMIT, 10)
+    return V.expand_domains(vocab(spark, d), vectors(spark, d).select("word", "vec"), V.TOP, LIMIT)
 
 
-EXPAND = f"""{VEC}, voc as (select 'd' || label as domain, word from v where vec_id % 3 <> 0), seeds as (select domain, word from voc qualify row_number() over (partition by domain order by word) <= 10), sq as (select distinct word from seeds where length(word) >= 3),
+EXPAND = f"""{VEC}, voc as (select 'd' || label as domain, word from v where vec_id % 3 <> 0), seeds as (select domain, word from voc qualify row_number() over (partition by domain order by word) <= {V.SEEDS}), sq as (select distinct word from seeds where length(word) >= 3),
 u as (select word, x, sqrt(list_sum(list_transform(x, lambda a: a * a))) as n from v), p as (select a.word as query, b.word as neighbour, list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) / (a.n * b.n) as similarity from u a join sq on sq.word = a.word join u b on a.word <> b.word),
 r as (select * from p qualify row_number() over (partition by query order by round(similarity, 12) desc, neighbour) <= 20), added as (select distinct domain, neighbour as word from seeds join r on seeds.word = r.query where similarity >= {LIMIT} and length(neighbour) >= 3 and length(seeds.word) >= 3 except select domain, word from voc)"""
 
@@ -155,7 +155,7 @@ QUERIES = {
     "prs_expand_table": lambda s, d: V.expansion_counts(expanded(s, d)).select("domain", "added"),
     "agg_mean_vector": lambda s, d: means(s, d).select("doc_id", F.posexplode("vec").alias("i", "x")).select("doc_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x")),
     "cmp_vec_sim": vec_sim,
-    "ml_ctx_features": lambda s, d: annotations(s, d).withColumn("context", F.substring("context", 1, 120)).select("doc_id", F.array_join(learning.context_bag(F.col("context"), F.col("lemma")), " ").alias("bag")),
+    "ml_ctx_features": lambda s, d: annotations(s, d).select("doc_id", F.array_join(learning.context_bag(F.col("context"), F.col("lemma")), " ").alias("bag")),
     "ml_annotator_gate": lambda s, d: learning.gate(annotations(s, d)),
     "ml_annotator_train": predicted,
     "ml_annotator_predict": lambda s, d: predicted(s, d).groupBy("layer", "false_positive").agg(F.count(F.lit(1)).alias("n")),
@@ -181,7 +181,7 @@ ORACLE = {
     "prs_expand_bars": f"with {EXPAND}, c as (select domain, count(*) as added from added group by 1) select domain, floor(added / (max(added) over ())::DOUBLE * 1000)::BIGINT as bar from c",
     "agg_mean_vector": f"with {MEANS} select doc_id, i, round(x, 6) as x from m",
     "cmp_vec_sim": f"with {MEANS}, n as (select doc_id, sqrt(sum(x * x)) as n from m group by 1) select a.doc_id as left_id, b.doc_id as right_id, round(least(1.0, greatest(0.0, sum(a.x * b.x) / (any_value(na.n) * any_value(nb.n)))), 6) as vector_similarity from m a join m b on b.doc_id = a.doc_id + 1 and a.i = b.i join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id group by all",
-    "ml_ctx_features": "with a as (select doc_id, substring(text, 1, 120) as context, regexp_extract(text, '\\p{L}+') as lemma from documents join labels using (doc_id)) select doc_id, array_to_string(list_filter(regexp_extract_all(lower(context), '[а-яёА-ЯЁa-zA-Z]+'), lambda w: w <> lower(lemma)) || ['TARGET_' || lower(lemma)], ' ') as bag from a",
+    "ml_ctx_features": "with a as (select doc_id, coalesce(text, '') as context, regexp_extract(text, '\\p{L}+') as lemma from documents join labels using (doc_id)) select doc_id, array_to_string(list_filter(regexp_extract_all(lower(context), '[а-яёА-ЯЁa-zA-Z]+'), lambda w: w <> lower(lemma)) || ['TARGET_' || lower(lemma)], ' ') as bag from a",
     "ml_annotator_gate": "with a as (select lang as layer, quality = 1 as y from documents join labels using (doc_id)) select layer, count(*) as n, count(distinct y) as n_classes, (select count(*) from a) >= 10 and count(*) >= 6 and count(distinct y) = 2 as trained from a group by 1",
 }
 ORACLE["prs_expand_table"] = ORACLE["ml_expand_all"]
