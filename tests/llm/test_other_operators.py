@@ -1,6 +1,9 @@
 """Operators on pages, vectors and images, the shared components, and the pipeline."""
 
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -245,6 +248,49 @@ def test_edited_copies_are_found(side, n):
     assert all(found[e] >= 0.9 * n for e in EDITS) and sum(found.values()) >= 0.97 * sum(linked.values())
 
 
+def test_neighbours_equal_all_distances(monkeypatch):
+    """Crowded, scattered, tied, lone points of several scales: cells find what the matrix of distances gives."""
+    rng = np.random.default_rng(19)
+    for n, size in ((0, 5), (1, 5), (2, 900), (7, 3000), (300, 12), (400, 90), (200, 5000)):
+        y, x, k = rng.integers(0, size, n).astype(float), rng.integers(0, size * 3, n).astype(float), rng.integers(0, 3, n)
+        apart = np.hypot(y[:, None] - y, x[:, None] - x)
+        want = {(i, int(j)) for i in range(n) for j in np.argsort(np.where((k == k[i]) & (np.arange(n) != i), apart[i], np.inf), kind="stable")[: min(images.NEAR, (k == k[i]).sum() - 1)]}
+        for patches, cells in ((images._PATCHES, images._CELLS), (13, 40)):
+            monkeypatch.setattr(images, "_PATCHES", patches)
+            monkeypatch.setattr(images, "_CELLS", cells)
+            i, j = images.neighbours(y, x, k)
+            assert len(i) == len(want) and set(zip(i.tolist(), j.tolist())) == want
+
+
+def test_strips_change_nothing(monkeypatch):
+    """An image worked on in strips of a few rows has the same corners, descriptors and keys; far from the border too."""
+    a = np.clip(images.resized(np.random.default_rng(20).uniform(0, 255, (30, 50)), 4.8), 0, 255).astype(np.uint8)
+    whole = described(a)
+    monkeypatch.setattr(images, "_PIXELS", 700)
+    monkeypatch.setattr(images, "_PATCHES", 11)
+    assert all(np.array_equal(p, q) for p, q in zip(whole, described(a)))
+    far = whole[0] + np.array([0, 30_000, 0, 0], np.float32)
+    packed = np.zeros(len(far), images._POINT)
+    packed["y"], packed["x"], packed["k"] = far[:, 0], far[:, 1], far[:, 2]
+    assert np.array_equal(images._read(packed.tobytes(), whole[1].tobytes())[0][:, :2], far[:, :2])
+
+
+def test_a_large_photograph_stays_small_in_memory():
+    """A picture of 12 million pixels is described and has its keys within a gigabyte."""
+    code = """
+import resource, numpy as np
+from lexiforge.llm import images
+a = images.resized(np.random.default_rng(21).uniform(0, 255, (300, 400)), 10.0).astype(np.uint8)
+p, d = images.describe(a.tobytes(), 4000, 3000)
+keys, _ = images.join_keys(p, d)
+print(len(p), len(keys), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], env={**os.environ, "PYTHONPATH": root}, capture_output=True, text=True, check=True)
+    n, keys, peak = map(int, done.stdout.split())
+    assert n > 50_000 and keys > n and peak < 1_000_000
+
+
 def test_classes_equal_brute_force_over_all_pairs(spark):
     """Copies of several edits among other pictures: the classes of all pairs that link come out, hot keys or not."""
     rng = np.random.default_rng(16)
