@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexiforge.functions import constants as C
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have."""
+    taken, name = {c.lower() for c in df.columns}, f"_lf_{stem}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def words(text: Column, pattern: str = C.WORD) -> Column:
     """Runs of letters, in order."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

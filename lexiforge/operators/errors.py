@@ -8,10 +8,11 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexiforge.functions import constants as C
-from lexiforge.functions.text import lookup, skill_label, skill_rate, snippet
+from lexiforge.functions.text import fresh, lookup, skill_label, skill_rate, snippet
 from lexiforge.operators.lexicons import small
 
 COLUMNS = ["doc_id", "error_type", "subtype", "fragment", "description", "suggestion", "start", "end", "rule_ref", "source", "context"]
@@ -84,33 +85,55 @@ def shifted(matches: DataFrame, pieces: DataFrame, start: str) -> DataFrame:
     return out.withColumn(start, F.col(start) + F.col("_at")).drop("_at", "no")
 
 
-def keep_first_spans(errors: DataFrame) -> DataFrame:
-    """Errors that overlap none kept before, by start, then by the source's priority.
+def _swept(stages: int, columns: list[str], doc: str, stage: str):
+    """Batches of ordered rows, of those with a place only the ones that overlap none kept before."""
 
-    Spans at (0, 0) take no part and stay. Kept spans are disjoint and come in order, so the furthest
-    end and the last start among them tell whether the next one overlaps; a fold over a document's
-    ordered spans finds them. An empty span at the very start of a kept one does not overlap it.
-    """
-    rank = F.coalesce(lookup(C.SOURCE_PRIORITY, F.col("source")), F.lit(0))
-    entry = F.struct("start", (-rank).alias("p"), *[c for c in errors.columns if c not in ("doc_id", "start")])
-    grouped = errors.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    placed = lambda x: (x["start"] != 0) | (x["end"] != 0)
-    grouped = grouped.select("doc_id", F.filter("all", placed).alias("all"), F.filter("all", lambda x: ~placed(x)).alias("rest"))
-    state = F.aggregate(
-        F.transform("all", lambda x, k: F.struct(x["start"].alias("s"), x["end"].alias("e"), k.alias("k"))),
-        F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.expr("cast(array() as array<int>)").alias("kept")),
-        lambda acc, x: F.when(
-            (x["s"] >= acc["end"]) | (x["e"] <= acc["start"]),
-            F.struct(x["s"].alias("start"), F.greatest(acc["end"], x["e"]).alias("end"), F.concat(acc["kept"], F.array(x["k"])).alias("kept")),
-        ).otherwise(acc),
-    )
-    kept = F.concat(F.transform(state["kept"], lambda k: F.get("all", k)), F.col("rest"))
-    return grouped.select("doc_id", F.inline(kept)).select(*errors.columns)
+    def run(batches):
+        # A stage's furthest end and last start among the spans it kept; they go on from batch to batch.
+        now, starts, ends = None, [-1] * stages, [-1] * stages
+        for batch in batches:
+            held = []
+            for d, s, e, first in zip(*(batch.column(c).to_pylist() for c in (doc, "start", "end", stage))):
+                if d != now:
+                    now, starts, ends = d, [-1] * stages, [-1] * stages
+                kept = True
+                if s is not None and e is not None and (s or e):
+                    for k in range(first, stages):
+                        if s < ends[k] and e > starts[k]:
+                            kept = False
+                            break
+                        starts[k], ends[k] = s, max(ends[k], e)
+                held.append(kept)
+            yield batch.filter(pa.array(held, pa.bool_())).select(columns)
+
+    return run
 
 
 def merge_in_stages(*sources: DataFrame) -> DataFrame:
-    """Sources joined one after the other, spans reduced after each: one dropped early never comes back."""
-    return reduce(lambda acc, more: keep_first_spans(acc.unionByName(more)), sources[1:], keep_first_spans(sources[0]))
+    """Errors of sources joined one after the other; after each, those go that overlap one kept before.
+
+    Spans are taken by start, then by the source's priority; one dropped early never comes back. Kept spans
+    are disjoint and come in order, so the furthest end and the last start among them tell whether the next
+    one overlaps: an empty span at the very start of a kept one does not. A span of a later source passes
+    fewer stages, so one sweep over all spans in order, with a pair of numbers per stage, gives all stages.
+    Spans are sorted within partitions and stream through; no document is held at once, however many it has.
+
+    Defined cases: spans at (0, 0) and those without a start or end take no part and stay; errors without a
+    document belong to one; repeated rows overlap each other unless they are empty; no errors give none.
+    """
+    columns = sources[0].columns
+    doc, stage, rank = (fresh(sources[0], stem) for stem in ("doc", "stage", "rank"))
+    union = reduce(lambda a, b: a.unionByName(b), [x.select(*columns, F.lit(k).alias(stage)) for k, x in enumerate(sources)])
+    order = [F.col(c) for c in columns if c not in ("doc_id", "start")]
+    # A text stands for the document in Python, so that any type of id will do; the order is by the id itself.
+    tagged = union.withColumn(rank, -F.coalesce(lookup(C.SOURCE_PRIORITY, F.col("source")), F.lit(0))).withColumn(doc, F.col("doc_id").cast("string"))
+    placed = tagged.repartition("doc_id").sortWithinPartitions("doc_id", "start", rank, *order)
+    return placed.mapInArrow(_swept(len(sources), columns, doc, stage), union.select(columns).schema)
+
+
+def keep_first_spans(errors: DataFrame) -> DataFrame:
+    """Errors that overlap none kept before, by start, then by the source's priority."""
+    return merge_in_stages(errors)
 
 
 def without_user_words(errors: DataFrame, user_words: DataFrame) -> DataFrame:

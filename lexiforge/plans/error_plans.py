@@ -15,18 +15,31 @@ CATEGORIES = ("TYPOS", "grammar", "STYLE", "OTHER", "PUNCTUATION")
 RULES = ("R0", "WHITESPACE_RULE", "R2", "R3", "DOUBLE_PUNCTUATION", "R5", "R6")
 
 
+#: A match for so many characters of a text that are begun, and one at least.
+EVERY = 400
+
+
+def _places(spark, d):
+    """(doc_id, text, k, i): texts of 60 characters or more by stretches k; i numbers what is found there."""
+    docs = documents(spark, d).where(F.char_length("text") >= 60)
+    return docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor(F.char_length("text") / EVERY).cast("int"))).alias("k")).withColumn("i", F.col("doc_id") + F.col("k"))
+
+
 def checker_matches(spark, d):
-    """Three matches per document, at places that follow from its id."""
-    docs = documents(spark, d).where(F.char_length("text") >= 60).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
-    i = F.col("doc_id") + F.col("k")
+    """Matches all over each text, at places that follow from its id; some are long and reach over others."""
+    i, size = F.col("i"), F.char_length("text")
     pick = lambda names: F.get(F.array(*map(F.lit, names)), (i % len(names)).cast("int"))
     options = F.when(i % 3 == 0, F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d"))).when(i % 3 == 1, F.array(F.lit("x"))).otherwise(F.expr("cast(array() as array<string>)"))
-    return docs.select("doc_id", pick(RULES).alias("rule_id"), pick(CATEGORIES).alias("category"), F.when(i % 2 == 0, "a message").alias("message"), (F.col("k") * 15 + i % 5).cast("int").alias("offset"), F.lit(6).alias("length"), options.alias("replacements"))
+    at = F.least(F.col("k") * EVERY + i * 37 % 350, size - 6).cast("int")
+    found = _places(spark, d).withColumn("offset", at)
+    length = F.least(F.when(i % 5 == 0, EVERY).otherwise(6), size - F.col("offset")).cast("int")
+    return found.select("doc_id", pick(RULES).alias("rule_id"), pick(CATEGORIES).alias("category"), F.when(i % 2 == 0, "a message").alias("message"), "offset", length.alias("length"), options.alias("replacements"))
 
 
-MATCHES = f"""m0 as (select doc_id, text, k, doc_id + k as i from documents cross join (values (0), (1), (2)) t(k) where length(text) >= 60),
-m as (select doc_id, text, {str(list(RULES))}[i % 7 + 1] as rule_id, {str(list(CATEGORIES))}[i % 5 + 1] as category, case when i % 2 = 0 then 'a message' end as message, k * 15 + i % 5 as a, case i % 3 when 0 then '→ a (или: b, c)' when 1 then '→ x' else 'Исправьте вручную' end as suggestion from m0),
-lt as (select doc_id, coalesce({sql_map(C.CHECKER_CATEGORIES)}[upper(category)], 'LanguageTool') as error_type, coalesce(message, rule_id) as subtype, substring(text, a + 1, 6) as fragment, suggestion, a as s, a + 6 as e, 'LT:' || rule_id as rule_ref, text from m where rule_id not in {sql_list(C.SKIPPED_RULES)})"""
+PLACES = f"m0 as (select *, doc_id + k as i from (select doc_id, text, unnest(range(length(text) // {EVERY} + 1)) as k from documents where length(text) >= 60))"
+MATCHES = f"""{PLACES}, m1 as (select *, least(k * {EVERY} + i * 37 % 350, length(text) - 6) as a from m0), m2 as (select *, least(case when i % 5 = 0 then {EVERY} else 6 end, length(text) - a) as len from m1),
+m as (select doc_id, text, {str(list(RULES))}[i % 7 + 1] as rule_id, {str(list(CATEGORIES))}[i % 5 + 1] as category, case when i % 2 = 0 then 'a message' end as message, a, len, case i % 3 when 0 then '→ a (или: b, c)' when 1 then '→ x' else 'Исправьте вручную' end as suggestion from m2),
+lt as (select doc_id, coalesce({sql_map(C.CHECKER_CATEGORIES)}[upper(category)], 'LanguageTool') as error_type, coalesce(message, rule_id) as subtype, substring(text, a + 1, len) as fragment, suggestion, a as s, a + len as e, 'LT:' || rule_id as rule_ref, text from m where rule_id not in {sql_list(C.SKIPPED_RULES)})"""
 
 
 def checker(spark, d):
@@ -34,15 +47,19 @@ def checker(spark, d):
 
 
 def speller_matches(spark, d):
-    docs = documents(spark, d).where(F.char_length("text") >= 60)
-    return docs.select("doc_id", (F.col("doc_id") % 4).alias("code"), (F.col("doc_id") % 20).cast("int").alias("pos"), F.lit(5).alias("len"), F.substring(F.col("text"), (F.col("doc_id") % 20).cast("int") + 1, F.lit(5)).alias("word"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("p"), F.lit("q"))).otherwise(F.array(F.lit("p"))).alias("s"))
+    """Matches all over each text, of five letters each."""
+    i = F.col("i")
+    at = F.least(F.col("k") * EVERY + i * 53 % 390, F.char_length("text") - 5).cast("int")
+    found = _places(spark, d).withColumn("pos", at)
+    return found.select("doc_id", (i % 4).alias("code"), "pos", F.lit(5).alias("len"), F.substring(F.col("text"), F.col("pos") + 1, F.lit(5)).alias("word"), F.when(i % 2 == 0, F.array(F.lit("p"), F.lit("q"))).otherwise(F.array(F.lit("p"))).alias("s"))
 
 
 def speller(spark, d):
     return R.from_speller(speller_matches(spark, d), documents(spark, d))
 
 
-SPELLER = f"""sp as (select doc_id, coalesce(map([1,2,3], {str(list(C.SPELLER_CODES.values()))})[doc_id % 4], '{C.SPELLER_CODES[1]}') as subtype, substring(text, doc_id % 20 + 1, 5) as fragment, case when doc_id % 2 = 0 then '→ p (или: q)' else '→ p' end as suggestion, doc_id % 20 as s, doc_id % 20 + 5 as e, text from documents where length(text) >= 60)"""
+SPELLER = f"""{PLACES.replace('m0', 'n0')}, n1 as (select *, least(k * {EVERY} + i * 53 % 390, length(text) - 5) as s from n0),
+sp as (select doc_id, coalesce(map([1,2,3], {str(list(C.SPELLER_CODES.values()))})[i % 4], '{C.SPELLER_CODES[1]}') as subtype, substring(text, s + 1, 5) as fragment, case when i % 2 = 0 then '→ p (или: q)' else '→ p' end as suggestion, s, s + 5 as e, text from n1)"""
 _context = lambda n: f"(case when s > {n} then '…' else '' end) || translate(substring(text, greatest(0, s - {n}) + 1, least(length(text), e + {n}) - greatest(0, s - {n})), chr(10), ' ') || (case when e + {n} < length(text) then '…' else '' end)"
 
 
@@ -154,12 +171,25 @@ _PRIORITY = "(case source " + " ".join(f"when '{k}' then {v}" for k, v in C.SOUR
 _LT_ROWS = f"select doc_id, error_type, subtype, fragment, subtype as description, suggestion, s, e, rule_ref, 'LT' as source, {_context(45)} as context from lt"
 _SP_ROWS = f"select doc_id, 'Орфографическая' as error_type, subtype, fragment, subtype || ': «' || fragment || '»' as description, suggestion, s, e, '' as rule_ref, 'YASPELL' as source, {_context(40)} as context from sp"
 
-
-def _kept(rows: str) -> str:
-    """Of rows with (s, e), those that overlap none kept before: each document is walked through in order."""
-    return f"""rows0 as ({rows}), ranked as (select *, row_number() over (partition by doc_id order by s, -{_PRIORITY}, error_type, subtype, fragment, description, suggestion, e, rule_ref, source, context) as i from rows0),
-    walk as (select doc_id, 0::BIGINT as i, -1::BIGINT as ks, -1::BIGINT as ke, false as kept from (select distinct doc_id from ranked)
-        union all select r.doc_id, r.i, case when r.s >= ke or r.e <= ks then r.s else ks end, case when r.s >= ke or r.e <= ks then greatest(ke, r.e) else ke end, r.s >= ke or r.e <= ks from walk w join ranked r on r.doc_id = w.doc_id and r.i = w.i + 1)
+_PU_ROWS = 'select doc_id, error_type, subtype, fragment, description, suggestion, start::BIGINT as s, "end"::BIGINT as e, rule_ref, source, context from pu'
+
+
+def _kept(*sources: str) -> str:
+    """Of rows with (s, e), those that overlap none kept before, source by source: each document is walked through in order, with the last start and furthest end of every stage."""
+    stages = range(len(sources))
+    rows = " union all ".join(f"select *, {k} as stage from ({x})" for k, x in enumerate(sources))
+    state = "".join(f", ks{k}, ke{k}" for k in stages)
+    step, passed = "w", "true"
+    for k in stages:
+        passed += f" and (stage > {k} or s >= ke{k} or e <= ks{k})"
+        step = step if k else "(select w.doc_id, r.i, r.s, r.e, r.stage" + state + " from walk w join ranked r on r.doc_id = w.doc_id and r.i = w.i + 1)"
+    # A span that a later stage drops has been kept by those before it.
+    reached = [" and ".join(f"(stage > {j} or s >= ke{j} or e <= ks{j})" for j in range(k + 1)) + f" and stage <= {k}" for k in stages]
+    moved = "".join(f", case when {reached[k]} then s else ks{k} end, case when {reached[k]} then greatest(ke{k}, e) else ke{k} end" for k in stages)
+    start = "".join(f", -1::BIGINT as ks{k}, -1::BIGINT as ke{k}" for k in stages)
+    return f"""rows0 as materialized ({rows}), ranked as materialized (select *, row_number() over (partition by doc_id order by s, -{_PRIORITY}, error_type, subtype, fragment, description, suggestion, e, rule_ref, source, context) as i from rows0),
+    walk as (select doc_id, 0::BIGINT as i{start}, false as kept from (select distinct doc_id from ranked)
+        union all select doc_id, i{moved}, {passed} from {step})
     select r.doc_id, error_type, subtype, fragment, description, suggestion, s::INT as start, e::INT as "end", rule_ref, source, context from ranked r join walk w using (doc_id, i) where kept"""
 
 
@@ -167,6 +197,7 @@ ORACLE = rule_sql.ORACLE | {
     "snk_error_text": f"with {MATCHES}, o as (select *, row_number() over (partition by doc_id, error_type order by s, e, fragment) as no from lt) select doc_id, error_type, count(*) as n, string_agg(no || '. «' || fragment || '» ' || subtype || ' → ' || suggestion, chr(10) order by no) filter (no <= 15) as report from o group by all",
     "join_overlap_dedup": f"with recursive {MATCHES}, {_kept(_LT_ROWS)}",
     "err_span_priority": f"with recursive {MATCHES}, {SPELLER}, {_kept(_LT_ROWS + ' union all ' + _SP_ROWS)}",
+    "set_error_union": f"with recursive {MATCHES}, {SPELLER}, pu as ({rule_sql.TEXT_RULES}), {_kept(_LT_ROWS, _SP_ROWS, _PU_ROWS)}",
     "snk_skill_sentences": f"select doc_id, case when n >= 500 then 'fit' when n >= 200 then 'preliminary' else 'insufficient' end as fit from (select doc_id, len(regexp_extract_all(text, '{WORD}')) as n from documents)",
     "punct_comma_probe": "select doc_id, regexp_matches(substring(text, 1, 40), '[,;:.!?\\n—–(-][ \\t\\x{00a0}]*$') as before, regexp_matches(substring(text, 41, 40), '^[ \\t\\x{00a0}]*[,;:.!?\\n—–)-]') as after from documents",
     "prj_lt_map": f"with {MATCHES} select doc_id, error_type, subtype, fragment, suggestion, s::BIGINT as start, e::BIGINT as \"end\", rule_ref, {_context(45)} as context from lt",
@@ -181,7 +212,7 @@ ORACLE = rule_sql.ORACLE | {
     "snk_highlight": f"with {MATCHES} select doc_id, s::BIGINT as start, error_type from lt",
     "snk_clipboard": f"with {SPELLER} select doc_id, s::INT as start, 'Тип: Орфографическая' || chr(10) || 'Фрагмент: ' || fragment || chr(10) || 'Описание: ' || subtype || ': «' || fragment || '»' || chr(10) || 'Рекомендация: ' || suggestion as line from sp",
     "sort_errors": f"with {MATCHES} select doc_id, s::BIGINT as start from lt",
-    "topk_errors": f"with {MATCHES} select doc_id, error_type, min(s)::BIGINT as start from lt group by all",
+    "topk_errors": f"with {MATCHES}, o as (select *, row_number() over (partition by doc_id, error_type order by s, e, fragment) as no from lt) select doc_id, error_type, s::BIGINT as start from o where no = 1",
     "agg_ai_score": f"with {GENERATED} select doc_id, coalesce(score, 0.0) as score from g",
     "cls_ai": f"with {GENERATED} select doc_id, case when floor(score * 100) >= 70 then 'high' when floor(score * 100) >= 40 then 'moderate' when floor(score * 100) >= 15 then 'low' else 'human' end as level from g",
     "cls_ai_interval": f"with {GENERATED} select doc_id, case when score >= 0.7 then 'strong' when score >= 0.4 then 'medium' else 'weak' end as level from g",

@@ -92,4 +92,4 @@ ORACLE = {
     "orc_lt_http_check": f"with recursive {_CHUNKS} select doc_id, \"offset\" + 3 as pos from chunks where length(chunk) > 10",
     "orc_speller_check": f"with recursive {_CHUNKS} select doc_id, max(\"offset\" + 3) as last from chunks where length(chunk) > 10 group by 1",
 }
-ORACLE["set_rule_union"] = " union all ".join(f"select * from ({ORACLE[f'punct_{rule}']})" for rule in P.TEXT_RULES)
+TEXT_RULES = ORACLE["set_rule_union"] = " union all ".join(f"select * from ({ORACLE[f'punct_{rule}']})" for rule in P.TEXT_RULES)

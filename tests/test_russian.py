@@ -83,6 +83,44 @@ def test_staged_dedup(spark):
     assert sorted(map(tuple, errors.keep_first_spans(once).collect())) == sorted(map(tuple, once.collect()))
 
 
+def test_sweep_equals_one_stage_after_the_other(spark):
+    """Random spans of three sources, empty and unplaced ones, null ids and clashing names: the sweep gives what stages give one by one."""
+    import random
+
+    rng = random.Random(3)
+    schema = "doc_id string, start int, end int, source string, fragment string, _lf_stage int, _lf_doc string"
+    names = [("LT",), ("YASPELL", "LT"), ("PUNCT", "REGEX", None)]
+    rows = [[(rng.choice(["a", "b", None]), a := rng.choice([0, *range(60)]), a + rng.choice([0, 0, 1, 4, 9]) if a else rng.choice([0, 3]), rng.choice(n), f"{k}{i}", i, "x") for i in range(120)] for k, n in enumerate(names)]
+    rows[1] += [("a", None, 4, "LT", "no start", 1, None), ("b", 7, None, "LT", "no end", 2, None)]
+    frames = [spark.createDataFrame(r, schema) for r in rows]
+
+    def kept(spans):
+        out, last = [], {}
+        for r in sorted(spans, key=lambda r: (r[1] or 0, -C.SOURCE_PRIORITY.get(r[3], 0), r[2] or 0, r[3] or "", r[4])):
+            a, b = last.get(r[0], (-1, -1))
+            if r[1] is None or r[2] is None or r[1] == r[2] == 0:
+                out.append(r)
+            elif r[1] >= b or r[2] <= a:
+                out.append(r)
+                last[r[0]] = r[1], max(b, r[2])
+        return out
+
+    want = kept(kept(kept(rows[0]) + rows[1]) + rows[2])
+    got = errors.merge_in_stages(*frames)
+    assert got.columns == frames[0].columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert 20 < len(want) < 300 and errors.merge_in_stages(frames[0].where("false")).count() == 0
+
+
+def test_one_document_with_many_spans(spark):
+    """200 000 spans of one document, half of them over others, in seconds; Arrow batches end among them."""
+    import time
+
+    spans = spark.range(200_000).selectExpr("1L as doc_id", "cast(id * 5 as int) as start", "cast(id * 5 + 7 as int) as end", "'LT' as source", "cast(id as string) as fragment")
+    begun = time.monotonic()
+    got = errors.keep_first_spans(spans).agg({"*": "count", "start": "sum"}).first()
+    assert sorted(got) == [100_000, sum(range(0, 1_000_000, 10))] and time.monotonic() - begun < 30
+
+
 def test_patterns(spark):
     t = tokens(spark, (0, W1))
     at = lambda p: sorted(r.position for r in patterns.query(t, p).collect())
