@@ -228,7 +228,7 @@ def build_layers(entries: DataFrame, whitelist: DataFrame | None = None, keeplis
     rows = entries.select("ord", "surface", pick_layer(F.col("layers")).alias("layer"), F.lit(False).alias("own")).where("layer is not null")
     if user is not None:
         mine = user.where(priority(F.col("category")).isNotNull() & (F.trim("word") != ""))
-        rows = rows.unionByName(mine.select((F.monotonically_increasing_id() + (1 << 40)).alias("ord"), F.lower(F.trim("word")).alias("surface"), F.col("category").alias("layer"), F.lit(True).alias("own")))
+        rows = rows.unionByName(mine.select((F.monotonically_increasing_id() + (1 << 62)).alias("ord"), F.lower(F.trim("word")).alias("surface"), F.col("category").alias("layer"), F.lit(True).alias("own")))
     rows = lemma_of(rows)
     mark = lambda d, c, name: rows.join(small(d.select(F.lower(c).alias(name)).distinct()), F.lower("phrase" if name != "_known" else "surface") == F.col(name), "left")
     for d, c, name in ((whitelist, "lemma", "_white"), (keeplist, "lemma", "_keep"), (known, "surface", "_known")):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexiforge.operators import lexicons as L, store
-from lexiforge.plans.lexicon_plans import DICT, SENTI, VOCAB, dictionary, values, vocab
-from lexiforge.plans.shared import documents, sql_array, table
+from lexiforge.plans.lexicon_plans import DICT, VOCAB, dictionary, vocab
+from lexiforge.plans.shared import documents, table
 from lexiforge.sources import files
 from lexiforge.sources.shared import scratch
 
@@ -34,9 +34,18 @@ def json_map(spark, d):
     return files.json_frequencies(spark, as_text(dictionary(spark, d).agg(F.to_json(entries)), spark)).select("lemma", F.col("rank").cast("long").alias("rank"), "pos")
 
 
+def sentiments(spark, d):
+    """(lemma, sentiment, stype, pos) of the languages' frequent words, as follows from their length."""
+    pick = lambda names: F.get(F.array(*map(F.lit, names)), F.char_length("lemma") % len(names))
+    return vocab(spark, d).select(F.col("word").alias("lemma")).distinct().select("lemma", pick(SENTIMENTS).alias("sentiment"), pick(KINDS).alias("stype"), pick(PARTS).alias("pos"))
+
+
+SENTIMENTS, KINDS, PARTS = ["positive", "negative", "neutral"], ["fact", "opinion", "feeling", ""], ["Noun", "Verb"]
+
+
 def json_senti(spark, d):
     entries = F.map_from_entries(F.collect_list(F.struct("lemma", F.array("sentiment", "stype", "pos"))))
-    return files.json_sentiments(spark, as_text(values(spark, SENTI).agg(F.to_json(entries)), spark))
+    return files.json_sentiments(spark, as_text(sentiments(spark, d).agg(F.to_json(entries)), spark))
 
 
 def json_list(spark, d):
@@ -75,10 +84,11 @@ def region_lines(spark, d, encoding: str, before: str = ""):
 
 
 def pasted(spark, d):
-    return files.paste(spark, list(PASTED)).select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"))
+    """Every turn of the conversations, pasted with the line ends of another system."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.concat("role", F.lit("\r\n"), F.regexp_replace("text", " ", "\r")).alias("text"))
+    return files.paste(spark, turns).select("conv_id", "turn", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-PASTED = ("Первый текст.", "", "A second text,\nof two lines.")
 QUERIES = {
     "src_text": lambda s, d: region_lines(s, d, "UTF-8"), "src_local_enc": lambda s, d: region_lines(s, d, "windows-1251", "Регион "), "src_paste": pasted,
     "src_csv_auto": csv_auto, "src_csv_fixed": lambda s, d: tsv(s, d).select("lemma", F.col("rank").cast("long").alias("rank"), "pos"), "src_json_map_freq": json_map,
@@ -89,8 +99,8 @@ _short = f"with {DICT} select lemma, rank, case when pos like 'n%' then 'noun' e
 _lines = lambda before: f"select 0::INT as ord, string_agg('{before}' || r_name || chr(10), '' order by r_regionkey) as text from region"
 ORACLE = {
     "src_text": _lines(""), "src_local_enc": _lines("Регион "),
-    "src_paste": f"select i::BIGINT as doc_id, t as text, length(t)::BIGINT as n_chars from (select unnest({sql_array(PASTED)}) as t, unnest(range({len(PASTED)})) as i)",
-    "src_csv_auto": _dict, "src_csv_fixed": _short, "src_json_map_freq": _dict, "src_json_map_senti": f"select * from {SENTI}", "orc_convert_dict": _short,
+    "src_paste": "select conv_id, turn, t as text, length(t)::BIGINT as n_chars from (select conv_id, turn, regexp_replace(coalesce(role || chr(13) || chr(10) || replace(text, ' ', chr(13)), ''), '\\r\\n?', chr(10), 'g') as t from conversations)",
+    "src_csv_auto": _dict, "src_csv_fixed": _short, "src_json_map_freq": _dict, "src_json_map_senti": f"with {VOCAB} select lemma, {SENTIMENTS}[length(lemma) % 3 + 1] as sentiment, {KINDS}[length(lemma) % 4 + 1] as stype, {PARTS}[length(lemma) % 2 + 1] as pos from (select distinct word as lemma from vocab)", "orc_convert_dict": _short,
     "src_json_list": f"with {VOCAB} select domain, word from vocab where domain = 'en'",
     "snk_json_dict": f"with {VOCAB} select domain, count(*) + case when domain = 'en' then 1 else 0 end as n from vocab group by domain",
     "src_sqlite": "select count(*) as n_texts, sum(len(regexp_extract_all(text, '\\p{L}+')))::BIGINT as n_words, sum(len(regexp_extract_all(text, '\\p{L}+'))) >= 500 and count(*) >= 3 as ready from documents",

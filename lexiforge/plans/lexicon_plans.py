@@ -8,7 +8,7 @@ from lexiforge.functions import constants as C
 from lexiforge.operators import lexicons as L
 from lexiforge.operators import reports, store
 from lexiforge.operators.tokens import explode_words
-from lexiforge.plans.shared import ANN, TOK, WORD, documents, sql_list, sql_map
+from lexiforge.plans.shared import ANN, TOK, WORD, documents, sql_list, sql_map, table
 
 WORDS = 30_000
 PER_DOMAIN = 300
@@ -113,6 +113,36 @@ lex as (select phrase, arg_min(layer, (100 - {_prio}[layer]::INT) * 100000 + ord
 HITS = f"{TOK}, {LEX}, hits as (select doc_id, tok_idx, text as surface, lower(text) as lemma, layer from tok join lex on lower(text) = phrase)"
 
 
+#: Two layers that an entry may name, some of them none that is known.
+FIRST, SECOND = [*C.LAYERS, "nonsense"], [*C.LAYERS, "", "unknown"]
+
+
+def entries(spark, d):
+    """(ord, surface, layers): every spelling in the documents with layers that follow from its length and its first place, which is its ord."""
+    seen = explode_words(documents(spark, d)).groupBy(F.col("text").alias("surface")).agg(F.min(F.col("doc_id") * (1 << 20) + F.col("tok_idx")).alias("ord"))
+    pick = lambda names, i: F.get(F.array(*map(F.lit, names)), (i % len(names)).cast("int"))
+    return seen.select("ord", "surface", F.filter(F.array(pick(FIRST, F.char_length("surface")), pick(SECOND, F.col("ord"))), lambda x: x != "").alias("layers"))
+
+
+def corpus_layers(spark, d, user=True):
+    """The lexicon of all those entries: German's frequent words are let through, English ones stay, words of the benchmark are plain; the user's are Spanish ones."""
+    top = vocab(spark, d)
+    plain = explode_words(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")).select(F.col("text").alias("surface"))
+    of = lambda domain: top.where(F.col("domain") == domain).select(F.col("word").alias("lemma"))
+    own = of("es").select(F.col("lemma").alias("word"), F.get(F.array(*map(F.lit, SECOND)), F.char_length("lemma") % len(SECOND)).alias("category"))
+    return L.build_layers(entries(spark, d), of("de"), of("en"), plain, own if user else None)
+
+
+ENTRY = f"""{VOCAB}, ent as (select text as surface, min(doc_id * 1048576 + tok_idx)::BIGINT as ord from tok group by 1),
+e as (select ord, surface, lower(surface) as phrase, list_filter([{FIRST}[length(surface) % {len(FIRST)} + 1], {SECOND}[ord % {len(SECOND)} + 1]], lambda x: x in {sql_list(C.LAYERS)}) as ls from ent),
+e1 as (select ord, surface, phrase, case when len(ls) > 0 then list_sort(list_transform(ls, lambda x, i: [(100 - {_prio}[x]::INT)::VARCHAR, i::VARCHAR, x]))[1][3] end as layer from e)"""
+CORPUS_LEX = f"""{ENTRY}, known as (select distinct lower(unnest(regexp_extract_all(text, '{WORD}'))) as word from benchmark),
+e2 as (select ord, phrase, layer from e1 where layer is not null and not (phrase in (select word from vocab where domain = 'de') or (phrase not in (select word from vocab where domain = 'en') and phrase in (select word from known) and layer in {sql_list(C.FILTERABLE)}))),
+u as (select {1 << 62} as ord, word as phrase, {SECOND}[length(word) % {len(SECOND)} + 1] as layer from vocab where domain = 'es'),
+all_of as (select * from e2 union all select * from u where layer in {sql_list(C.LAYERS)})"""
+_best = f"arg_min(layer, [(100 - {_prio}[layer]::INT)::BIGINT, ord])"
+
+
 def hits(spark, d):
     return L.layer_word_hits(documents(spark, d), layers(spark), WORD)
 
@@ -155,10 +185,10 @@ QUERIES = {
     "prs_domain_bars": lambda s, d: reports.relative_bars(scores(s, d).withColumn("cosine", F.round("cosine", 6)), ["doc_id"], "cosine").select("doc_id", "domain", "bar"),
     "prs_domain_report": lambda s, d: reports.domain_report(scores(s, d), L.top_domains(scores(s, d))),
     "lex_user_inject_domain": lambda s, d: L.inject_domain_words(vocab(s, d), s.createDataFrame([("the", "de"), ("Novel ", "en"), ("x", "nowhere")], "word string, category string")),
-    "lex_pick_layer": lambda s, d: values(s, ENTRIES).select(F.col("ord").cast("long").alias("ord"), L.pick_layer(F.filter(F.array("l1", "l2"), lambda x: x != "")).alias("layer")),
-    "lex_build": lambda s, d: layers(s, user=False).select("phrase", "layer"),
-    "lex_user_inject_strat": lambda s, d: layers(s).select("phrase", "layer"),
-    "lex_false_positive": lambda s, d: values(s, ENTRIES).select(F.lower("surface").alias("phrase")).distinct().join(layers(s, user=False), "phrase", "left_anti"),
+    "lex_pick_layer": lambda s, d: entries(s, d).select("ord", "surface", L.pick_layer(F.col("layers")).alias("layer")),
+    "lex_build": lambda s, d: corpus_layers(s, d, user=False).select("phrase", "layer"),
+    "lex_user_inject_strat": lambda s, d: corpus_layers(s, d).select("phrase", "layer"),
+    "lex_false_positive": lambda s, d: entries(s, d).select(F.lower("surface").alias("phrase")).distinct().join(corpus_layers(s, d, user=False), "phrase", "left_anti"),
     "lex_override": lambda s, d: L.override_hits(hits(s, d), words_of(s, ("ti", "the", "idiot"))).groupBy("layer").agg(F.count(F.lit(1)).alias("n")),
     "join_strat_word": lambda s, d: _long(hits(s, d), "tok_idx").select("doc_id", "tok_idx", "surface", "layer"),
     "sort_hits": lambda s, d: hits(s, d).select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("tok_idx", "layer", "surface")).cast("long").alias("no"), "surface", "layer"),
@@ -172,7 +202,6 @@ QUERIES = {
     "flt_lexicon_browse": lambda s, d: L.browse(vocab(s, d), "domain", "word").select("domain", "n", F.array_join("words", ",").alias("words")),
 }
 
-_pick = "list_sort(list_transform(ls, lambda x, i: [(100 - {p}[x]::INT)::VARCHAR, i::VARCHAR, x]))[1][3]".replace("{p}", _prio)
 ORACLE = {
     "lex_freq_dedup": f"with {DICT} select lemma, rank, round(ipm, 6) as ipm, pos from dict",
     "lex_pos_short": "select doc_id, raw, shadowed, fixed from documents cross join (values ('spro','noun','pron'), ('adv','adj','adv'), ('S','noun','noun'), ('apro','adj','pron'), ('v.x','verb','verb'), ('intj','interj','interj'), ('zzzzz','zzzz','zzzz')) t(raw, shadowed, fixed)",
@@ -199,10 +228,10 @@ ORACLE = {
     "prs_domain_table": f"with {SCORES}, q as (select *, greatest(0.02, max(cosine) over (partition by doc_id) * 0.25) as need from sc), t as (select doc_id, domain from (select * from q where cosine >= need) qualify row_number() over (partition by doc_id order by cosine desc, domain) <= 3) select sc.doc_id, sc.domain, match_count, t.domain is not null as top from sc left join t on sc.doc_id = t.doc_id and sc.domain = t.domain",
     "prs_domain_bars": f"with {SCORES}, r as (select doc_id, domain, round(cosine, 6) as cosine from sc) select doc_id, domain, floor(cosine / greatest(max(cosine) over (partition by doc_id), 1e-9) * 1000)::BIGINT as bar from r",
     "lex_user_inject_domain": f"with {VOCAB} select domain, word from vocab union select 'de', 'the' union select 'en', 'novel'",
-    "lex_pick_layer": f"select ord::BIGINT as ord, case when len(ls) > 0 then {_pick} end as layer from (select ord, list_filter([l1, l2], lambda x: x in {sql_list(C.LAYERS)}) as ls from {ENTRIES})",
-    "lex_build": f"with {LEX.split(',' + chr(10) + 'u as')[0]} select phrase, arg_min(layer, (100 - {_prio}[layer]::INT) * 100000 + ord) as layer from e2 group by phrase",
-    "lex_user_inject_strat": f"with {LEX} select phrase, layer from lex",
-    "lex_false_positive": f"with {LEX.split(',' + chr(10) + 'u as')[0]} select distinct lower(surface) as phrase from {ENTRIES} where lower(surface) not in (select phrase from e2)",
+    "lex_pick_layer": f"with {ENTRY} select ord, surface, layer from e1",
+    "lex_build": f"with {CORPUS_LEX} select phrase, {_best} as layer from e2 group by phrase",
+    "lex_user_inject_strat": f"with {CORPUS_LEX} select phrase, {_best} as layer from all_of group by phrase",
+    "lex_false_positive": f"with {CORPUS_LEX} select distinct phrase from e1 where phrase not in (select phrase from e2)",
     "lex_override": f"with {HITS} select layer, count(*) as n from hits where not (lemma in ('ti', 'the', 'idiot') and layer in {sql_list(C.FILTERABLE)}) group by 1",
     "join_strat_word": f"with {HITS} select doc_id, tok_idx, surface, layer from hits",
     "sort_hits": f"with {HITS} select doc_id, row_number() over (partition by doc_id order by tok_idx, layer, surface) as no, surface, layer from hits",

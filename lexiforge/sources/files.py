@@ -52,7 +52,10 @@ def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(F.broadcast(order), "name").where(same).select("path", "ord", "text").orderBy("ord")
 
 
-def paste(spark: SparkSession, texts: list[str]) -> DataFrame:
+def paste(spark: SparkSession, texts: list[str] | DataFrame) -> DataFrame:
+    """Pasted texts as documents: a list is numbered; rows keep their columns, with plain line ends and no null text."""
+    if isinstance(texts, DataFrame):
+        return texts.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"))
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
