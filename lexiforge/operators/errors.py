@@ -76,13 +76,30 @@ def chunks(docs: DataFrame, size: int = 2000, ends: tuple[str, ...] = (".", "!",
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, no int, offset int, chunk string")
 
 
-def shifted(matches: DataFrame, pieces: DataFrame, start: str) -> DataFrame:
-    """Matches that a service found in chunks (doc_id, no, ...), with offsets in the whole text.
+def content_key(chunk: Column) -> Column:
+    return F.sha2(F.coalesce(chunk, F.lit("")), 256)
 
-    Every chunk has its own offset, so one that failed does not move those after it.
+
+def requests(pieces: DataFrame, answered: DataFrame | None = None) -> DataFrame:
+    """(chunk_key, chunk): what to ask a service, each content once, without those that `answered` (chunk_key, ...) has.
+
+    Chunks are told apart before they are shuffled, so a chunk that many texts share is no hot key.
+    """
+    asked = pieces.select(content_key(F.col("chunk")).alias("chunk_key"), F.coalesce("chunk", F.lit("")).alias("chunk")).groupBy("chunk_key").agg(F.first("chunk").alias("chunk"))
+    return asked if answered is None else asked.join(answered.select("chunk_key").distinct(), "chunk_key", "left_anti")
+
+
+def answered_matches(answers: DataFrame, pieces: DataFrame, start: str) -> DataFrame:
+    """Matches in whole texts (doc_id, ...) from a service's answers (chunk_key, matches: array of structs with `start`).
+
+    An answer stands for every chunk of its content, so it is kept and joined again for texts that come
+    later. A chunk whose answer is null (the service failed) or missing has no matches, and moves none of
+    those after it; of a key's answers one with matches counts. Chunk texts are not moved.
     """
-    out = matches.join(pieces.select("doc_id", "no", F.col("offset").alias("_at")), ["doc_id", "no"])
-    return out.withColumn(start, F.col(start) + F.col("_at")).drop("_at", "no")
+    one = answers.where("matches is not null").groupBy("chunk_key").agg(F.first("matches").alias("matches"))
+    at = pieces.select("doc_id", F.col("offset").alias("_lf_at"), content_key(F.col("chunk")).alias("chunk_key"))
+    found = at.join(one, "chunk_key").select("doc_id", "_lf_at", F.inline("matches"))
+    return found.withColumn(start, (F.col(start) + F.col("_lf_at")).cast("int")).drop("_lf_at")
 
 
 def _swept(stages: int, columns: list[str], doc: str, stage: str):

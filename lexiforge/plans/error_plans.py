@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from lexiforge.functions import constants as C, text as X
 from lexiforge.operators import errors as R
@@ -10,6 +10,7 @@ from lexiforge.operators import punctuation as P
 from lexiforge.operators.metrics import sentence_stats
 from lexiforge.plans import rule_sql
 from lexiforge.plans.shared import WORD, documents, sql_list, sql_map
+from lexiforge.sources.shared import scratch
 
 CATEGORIES = ("TYPOS", "grammar", "STYLE", "OTHER", "PUNCTUATION")
 RULES = ("R0", "WHITESPACE_RULE", "R2", "R3", "DOUBLE_PUNCTUATION", "R5", "R6")
@@ -80,10 +81,38 @@ def chunked(spark, d):
     return R.chunks(documents(spark, d), 500)
 
 
-def shifted(spark, d):
-    pieces = chunked(spark, d)
-    found = pieces.where(F.length("chunk") > 10).select("doc_id", "no", F.lit(3).alias("pos"))
-    return R.shifted(found, pieces, "pos")
+def answers(asked):
+    """A service's answers (chunk_key, speller, checker): long words are unknown, a word after itself is repeated; some requests fail."""
+    words = asked.select("chunk_key", F.posexplode(F.regexp_extract_all("chunk", F.lit(r"[^\p{L}]*\p{L}+"), F.lit(0))).alias("i", "piece"))
+    order = Window.partitionBy("chunk_key").orderBy("i")
+    words = words.withColumns({"word": F.regexp_extract("piece", r"\p{L}+$", 0), "end": F.sum(F.char_length("piece")).over(order).cast("int")})
+    words = words.withColumns({"len": F.char_length("word"), "again": F.lower("word") == F.lag(F.lower("word")).over(order)})
+    unknown = F.struct(F.lit(1).alias("code"), (F.col("end") - F.col("len")).alias("pos"), "len", "word", F.array(F.lower("word")).alias("s"))
+    repeated = F.struct(F.lit("REPEATED_WORD").alias("rule_id"), F.lit("STYLE").alias("category"), F.lit("a repeated word").alias("message"), (F.col("end") - F.col("len")).alias("offset"), F.col("len").alias("length"), F.array("word").alias("replacements"))
+    found = words.groupBy("chunk_key").agg(F.collect_list(F.when(F.col("len") >= LONG, unknown)).alias("speller"), F.collect_list(F.when(F.col("again"), repeated)).alias("checker"))
+    return asked.select("chunk_key").join(found, "chunk_key", "left").where(~FAILS)
+
+
+LONG = 12
+FAILS = F.expr("left(chunk_key, 1) = '0'")
+
+
+def kept_answers(spark, d):
+    """The answers on all chunks, asked in two runs and kept in a table: the second run asks only what the first did not."""
+    pieces, path = chunked(spark, d), scratch(spark)
+    answers(R.requests(pieces.where("doc_id % 2 = 0"))).write.parquet(path)
+    answers(R.requests(pieces, spark.read.parquet(path))).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def asked_speller(spark, d):
+    found = R.answered_matches(answers(R.requests(chunked(spark, d))).select("chunk_key", F.col("speller").alias("matches")), chunked(spark, d), "pos")
+    return R.from_speller(found, documents(spark, d))
+
+
+def asked_checker(spark, d):
+    found = R.answered_matches(answers(R.requests(chunked(spark, d))).select("chunk_key", F.col("checker").alias("matches")), chunked(spark, d), "offset")
+    return R.from_checker(found, documents(spark, d))
 
 
 def intervals(spark, d):
@@ -143,8 +172,10 @@ QUERIES = {
     "topk_errors": lambda s, d: R.top_errors(checker(s, d), 1).select("doc_id", "error_type", F.col("start").cast("long").alias("start")),
     "snk_error_text": lambda s, d: R.error_lines(checker(s, d)),
     "prj_chunk": chunked,
-    "orc_lt_http_check": shifted,
-    "orc_speller_check": lambda s, d: shifted(s, d).groupBy("doc_id").agg(F.max("pos").alias("last")),
+    "orc_lt_http_check": lambda s, d: asked_checker(s, d).select("doc_id", "start", "end", "fragment", "suggestion"),
+    "src_ext_lt": lambda s, d: kept_answers(s, d).select("chunk_key", F.inline("checker")).select("chunk_key", "rule_id", "offset", "length"),
+    "src_ext_speller": lambda s, d: kept_answers(s, d).select("chunk_key", F.inline("speller")).select("chunk_key", "pos", "word"),
+    "orc_speller_check": lambda s, d: asked_speller(s, d).select("doc_id", "start", "end", "fragment", "suggestion"),
     "join_overlap_dedup": lambda s, d: R.keep_first_spans(checker(s, d)),
     "err_span_priority": lambda s, d: R.keep_first_spans(checker(s, d).unionByName(speller(s, d))),
     "set_error_union": lambda s, d: R.merge_in_stages(checker(s, d), speller(s, d), P.check_text(russian(s, d))),

@@ -80,6 +80,11 @@ _CHUNKS = f"""walk as (select doc_id, coalesce(text, '') as text, 0::BIGINT as n
     union all select doc_id, text, no + 1, low + c, substring(text, low + c + 1, 500) from (select *, {_cut} as c from walk) where low + c < length(text)),
 chunks as (select doc_id, no::INT as no, low::INT as "offset", left(room, {_cut}) as chunk from walk)"""
 
+#: found: words of each content that a service answers on, with their ends; again: the one before is the same.
+_ANSWERS = rf"""{_CHUNKS}, cp as (select chunk, unnest(p) as piece, generate_subscripts(p, 1) as i from (select distinct chunk, regexp_extract_all(chunk, '[^\p{{L}}]*\p{{L}}+') as p from chunks)),
+cw as (select chunk, i, regexp_extract(piece, '\p{{L}}+$') as word, sum(length(piece)) over (partition by chunk order by i)::BIGINT as e from cp),
+found as (select chunk, sha256(chunk) as chunk_key, word, length(word) as len, e, lower(word) = lag(lower(word)) over (partition by chunk order by i) as again from cw where left(sha256(chunk), 1) <> '0')"""
+
 ORACLE = {
     "punct_adverse": f"with {WORDS} {_ADVERSE}",
     "punct_compound": f"with {WORDS}, {_phrases(P.COMPOUND)} {_COMPOUND}",
@@ -89,7 +94,9 @@ ORACLE = {
     "join_head": f"with {TREES} select a.doc_id, a.i::INT as tok_idx, a.word as text, b.word as head_text from t a join t b on b.doc_id = a.doc_id and b.sent_id = a.sent_id and b.no = a.no - 1 where a.no % 7 = 5",
     "join_subtree": f"with {TREES} select a.doc_id, a.sent_id::INT as sent_id, a.no::INT as token_id, b.no::INT as member from t a join t b on b.doc_id = a.doc_id and b.sent_id = a.sent_id and b.no >= a.no and (b.no - 1) // 7 = (a.no - 1) // 7",
     "prj_chunk": f"with recursive {_CHUNKS} select * from chunks",
-    "orc_lt_http_check": f"with recursive {_CHUNKS} select doc_id, \"offset\" + 3 as pos from chunks where length(chunk) > 10",
-    "orc_speller_check": f"with recursive {_CHUNKS} select doc_id, max(\"offset\" + 3) as last from chunks where length(chunk) > 10 group by 1",
+    "orc_lt_http_check": f"with recursive {_ANSWERS} select doc_id, (\"offset\" + e - len)::INT as start, (\"offset\" + e)::INT as \"end\", word as fragment, '→ ' || word as suggestion from chunks join found using (chunk) where again",
+    "src_ext_lt": f"with recursive {_ANSWERS} select chunk_key, 'REPEATED_WORD' as rule_id, (e - len)::INT as \"offset\", len::INT as length from found where again",
+    "src_ext_speller": f"with recursive {_ANSWERS} select chunk_key, (e - len)::INT as pos, word from found where len >= 12",
+    "orc_speller_check": f"with recursive {_ANSWERS} select doc_id, (\"offset\" + e - len)::INT as start, (\"offset\" + e)::INT as \"end\", word as fragment, '→ ' || lower(word) as suggestion from chunks join found using (chunk) where len >= 12",
 }
 TEXT_RULES = ORACLE["set_rule_union"] = " union all ".join(f"select * from ({ORACLE[f'punct_{rule}']})" for rule in P.TEXT_RULES)

@@ -121,6 +121,22 @@ def test_one_document_with_many_spans(spark):
     assert sorted(got) == [100_000, sum(range(0, 1_000_000, 10))] and time.monotonic() - begun < 30
 
 
+def test_answers_by_content(spark):
+    """A chunk that texts share is asked once, a failed or unknown one moves none after it, and what is known is not asked again."""
+    cut = [["Aaaa.", " Bbbb."], [" Bbbb."], [""], ["Aaaa.", " Cccc.", " Bbbb."]]
+    rows = [(i, no, sum(map(len, text[:no])), chunk) for i, text in enumerate(cut) for no, chunk in enumerate(text)]
+    pieces = spark.createDataFrame([*rows, (9, 0, 0, None)], "doc_id long, no int, offset int, chunk string")
+    asked = errors.requests(pieces)
+    assert sorted(r.chunk for r in asked.collect()) == ["", " Bbbb.", " Cccc.", "Aaaa."]
+    key = {r.chunk: r.chunk_key for r in asked.collect()}
+    schema = "chunk_key string, matches array<struct<pos int, len int>>"
+    answers = spark.createDataFrame([(key["Aaaa."], [(0, 4)]), (key[" Cccc."], None), (key[" Bbbb."], None), (key[" Bbbb."], [(1, 2), (3, 2)])], schema)
+    got = errors.answered_matches(answers, pieces, "pos")
+    assert sorted(map(tuple, got.collect())) == [(0, 0, 4), (0, 6, 2), (0, 8, 2), (1, 1, 2), (1, 3, 2), (3, 0, 4), (3, 12, 2), (3, 14, 2)]
+    assert sorted(r.chunk for r in errors.requests(pieces, answers).collect()) == [""]
+    assert errors.requests(pieces.where("false")).count() == 0 and errors.answered_matches(answers.where("false"), pieces, "pos").count() == 0
+
+
 def test_patterns(spark):
     t = tokens(spark, (0, W1))
     at = lambda p: sorted(r.position for r in patterns.query(t, p).collect())
