@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiforge.functions import constants as C
-from lexiforge.operators import store as S
+from lexiforge.operators import cache, store as S
 from lexiforge.operators import tokens as T
 from lexiforge.plans.shared import ANN, documents, sql_map, table, tokens
 
@@ -23,6 +23,21 @@ LOG = """lg as (select event_id as seq, 't' || (user_id % 50) as text_hash, even
 cur as (select * from lg qualify row_number() over (partition by text_hash, lemma, layer order by seq desc) = 1), held as (select * from cur where op <> 'delete')"""
 
 
+def cache_log(spark, d):
+    """Events as uses of a cache: results of a user's requests are set and read, some are ended, once in a while all."""
+    e = table(spark, d, "events")
+    op = F.when(F.col("event_id") % 3001 == 3000, "clear").when(F.col("event_id") % 17 == 0, "invalidate").when(F.col("event_id") % 3 == 0, "get").otherwise("set")
+    text = F.concat(F.lit(" request "), F.col("user_id"), F.lit("\n"))
+    return e.select(F.col("event_id").alias("seq"), F.col("ts").alias("at"), op.alias("op"), cache.content_key(text).alias("key"), F.repeat("props", F.col("event_id").cast("int") % 9).alias("data"))
+
+
+CACHE_DAYS, CACHE_BYTES = 8, 2000
+CACHE = f"""cl as (select event_id as seq, ts, case when event_id % 3001 = 3000 then 'clear' when event_id % 17 = 0 then 'invalidate' when event_id % 3 = 0 then 'get' else 'set' end as op, md5('request ' || user_id) as key, repeat(props, event_id % 9) as data from events),
+ck as (select key, max(seq) filter (op = 'set') as s, max(seq) filter (op = 'invalidate') as ended, max(ts) filter (op in ('set', 'get')) as used from cl group by 1),
+live as (select ck.key, cl.data, used, strlen(cl.data) as size from ck join cl on cl.seq = s where s > coalesce(ended, -1) and s > coalesce((select max(seq) from cl where op = 'clear'), -1) and (select max(ts) from cl) - cl.ts < interval {CACHE_DAYS} day),
+cs as (select *, sum(size) over (order by date_trunc('second', used) desc, key rows unbounded preceding) as total from live)"""
+
+
 def dictionary_log(spark, d):
     """Documents' first words, some in capitals, as a user's dictionary."""
     docs = documents(spark, d)
@@ -57,6 +72,7 @@ def after_delete(spark, d):
 
 
 QUERIES = {
+    "snk_cache": lambda s, d: cache.held(cache_log(s, d), CACHE_DAYS * 24 * 3600, CACHE_BYTES).select("key", "data", "size"),
     "snk_upsert_ann": lambda s, d: S.annotations(annotation_log(s, d)).select("text_hash", "lemma", "layer", "verdict", "seq"),
     "win_latest": lambda s, d: S.latest(annotation_log(s, d).drop("op"), ["text_hash", "lemma"]).select("text_hash", "lemma", "verdict", "seq"),
     "snk_deletes": lambda s, d: after_delete(s, d).select("text_hash", "lemma", "layer", "seq"),
@@ -77,6 +93,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "snk_cache": f"with {CACHE} select key, data, size from cs where total <= {CACHE_BYTES}",
     "snk_upsert_ann": f"with {LOG} select text_hash, lemma, layer, verdict, seq from held",
     "win_latest": f"with {LOG} select text_hash, lemma, verdict, seq from lg qualify row_number() over (partition by text_hash, lemma order by seq desc) = 1",
     "snk_deletes": f"with {LOG} select text_hash, lemma, layer, seq from held where lemma <> 'click'",

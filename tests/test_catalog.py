@@ -8,7 +8,7 @@ import pytest
 from lexiforge.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["agg_diversity", "agg_sentences", "agg_inet_profile", "agg_pos_bigrams", "agg_idx20", "win_pattern", "agg_freq_profile", "agg_senti", "agg_tfidf_cosine", "lex_build", "cmp_pipeline", "snk_upsert_ann", "snk_upsert_dict", "agg_skill_level", "topk_neighbors", "src_text", "src_local_enc", "src_paste", "sort_hits"]
+SAMPLE = ["agg_diversity", "agg_sentences", "agg_inet_profile", "agg_pos_bigrams", "agg_idx20", "win_pattern", "agg_freq_profile", "agg_senti", "agg_tfidf_cosine", "lex_build", "cmp_pipeline", "snk_upsert_ann", "snk_upsert_dict", "agg_skill_level", "topk_neighbors", "src_text", "src_local_enc", "src_paste", "sort_hits", "set_error_union", "join_overlap_dedup", "orc_lt_http_check", "src_ext_speller", "lex_user_inject_strat", "snk_cache"]
 
 
 def plain(v):
