@@ -189,8 +189,8 @@ QUERIES = {
     "punct_all": lambda s, d: P.check(russian(s, d), syntax_tokens(s, d)),
     "join_subtree": lambda s, d: P.subtrees(syntax_tokens(s, d)),
     "join_head": lambda s, d: P.heads(syntax_tokens(s, d)).where(F.col("pos_label") == C.PARTICIPLE).select("doc_id", "tok_idx", "text", "head_text"),
-    "orc_sentence_groups": lambda s, d: syntax_tokens(s, d).groupBy("doc_id", "sent_id").agg(F.count(F.lit(1)).alias("n")),
-    "punct_comma_probe": lambda s, d: documents(s, d).select("doc_id", F.substring("text", 1, 40).rlike(r"[,;:.!?\n—–(-][ \t\u00a0]*$").alias("before"), F.substring("text", 41, 40).rlike(r"^[ \t\u00a0]*[,;:.!?\n—–)-]").alias("after")),
+    "orc_sentence_groups": lambda s, d: P.sentence_groups(syntax_tokens(s, d)).select("doc_id", "sent_id", F.size("tokens").cast("long").alias("n"), F.array_join(F.col("tokens.text"), " ").alias("words")),
+    "punct_comma_probe": lambda s, d: P.probe_boundaries(documents(s, d)),
     "agg_ai_score": lambda s, d: R.generated_score(intervals(s, d), documents(s, d)),
     "cls_ai": lambda s, d: R.generated_score(intervals(s, d), documents(s, d)).select("doc_id", X.generated_label(F.col("score")).alias("level")),
     "cls_ai_interval": lambda s, d: R.generated_score(intervals(s, d), documents(s, d)).select("doc_id", X.interval_label(F.col("score")).alias("level")),
@@ -230,7 +230,7 @@ ORACLE = rule_sql.ORACLE | {
     "err_span_priority": f"with recursive {MATCHES}, {SPELLER}, {_kept(_LT_ROWS + ' union all ' + _SP_ROWS)}",
     "set_error_union": f"with recursive {MATCHES}, {SPELLER}, pu as ({rule_sql.TEXT_RULES}), {_kept(_LT_ROWS, _SP_ROWS, _PU_ROWS)}",
     "snk_skill_sentences": f"select doc_id, case when n >= 500 then 'fit' when n >= 200 then 'preliminary' else 'insufficient' end as fit from (select doc_id, len(regexp_extract_all(text, '{WORD}')) as n from documents)",
-    "punct_comma_probe": "select doc_id, regexp_matches(substring(text, 1, 40), '[,;:.!?\\n—–(-][ \\t\\x{00a0}]*$') as before, regexp_matches(substring(text, 41, 40), '^[ \\t\\x{00a0}]*[,;:.!?\\n—–)-]') as after from documents",
+    "punct_comma_probe": "with p as (select doc_id, unnest(ps) as piece, generate_subscripts(ps, 1) - 1 as i, len(ps) as n, regexp_extract(text, '[^\\p{L}]*$') as tail from (select doc_id, text, regexp_extract_all(text, '[^\\p{L}]*\\p{L}+') as ps from documents)), g as (select *, regexp_extract(piece, '^[^\\p{L}]*') as l from p), r as (select *, coalesce(lead(l) over (partition by doc_id order by i), tail) as r from g) select doc_id, i::INT as i, regexp_matches(l, '[,;:.!?\\n—–(-][ \\t\\x{00a0}]*$') or (i = 0 and regexp_matches(l, '^[ \\t\\x{00a0}]*$')) as before, regexp_matches(r, '^[ \\t\\x{00a0}]*[,;:.!?\\n—–)-]') or (i + 1 = n and regexp_matches(r, '^[ \\t\\x{00a0}]*$')) as after from r",
     "prj_lt_map": f"with {MATCHES} select doc_id, error_type, subtype, fragment, suggestion, s::BIGINT as start, e::BIGINT as \"end\", rule_ref, {_context(45)} as context from lt",
     "flt_lt_skip": f"with {MATCHES} select rule_ref, count(*) as n from lt group by 1",
     "prj_speller_map": f"with {SPELLER} select doc_id, subtype, fragment, suggestion, s::BIGINT as start, {_context(40)} as context from sp",

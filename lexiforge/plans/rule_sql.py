@@ -90,7 +90,7 @@ ORACLE = {
     "punct_compound": f"with {WORDS}, {_phrases(P.COMPOUND)} {_COMPOUND}",
     "punct_intro": f"with {WORDS}, {_phrases(P.INTRODUCTORY)} {_INTRO}",
     "punct_kotory": f"with {WORDS} {_KOTORY}",
-    "orc_sentence_groups": f"with {TREES} select doc_id, sent_id::INT as sent_id, count(*) as n from t group by all",
+    "orc_sentence_groups": f"with {TREES} select doc_id, sent_id::INT as sent_id, count(*) as n, string_agg(word, ' ' order by i) as words from t group by doc_id, sent_id",
     "join_head": f"with {TREES} select a.doc_id, a.i::INT as tok_idx, a.word as text, b.word as head_text from t a join t b on b.doc_id = a.doc_id and b.sent_id = a.sent_id and b.no = a.no - 1 where a.no % 7 = 5",
     "join_subtree": f"with {TREES} select a.doc_id, a.sent_id::INT as sent_id, a.no::INT as token_id, b.no::INT as member from t a join t b on b.doc_id = a.doc_id and b.sent_id = a.sent_id and b.no >= a.no and (b.no - 1) // 7 = (a.no - 1) // 7",
     "prj_chunk": f"with recursive {_CHUNKS} select * from chunks",

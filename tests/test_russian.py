@@ -137,6 +137,23 @@ def test_answers_by_content(spark):
     assert errors.requests(pieces.where("false")).count() == 0 and errors.answered_matches(answers.where("false"), pieces, "pos").count() == 0
 
 
+def test_probe_and_groups(spark):
+    """Every boundary of random texts gets what the tests on a text and a place say; sentences hold their tokens in order."""
+    import random
+    import re
+
+    from lexiforge.operators import punctuation
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("аб ,.;\n\t\u00a0()—-!1_", k=rng.randint(0, 40))) for _ in range(150)] + [None, "", "  слово  ", "1"]
+    got = {(r.doc_id, r.i): (r.before, r.after) for r in punctuation.probe_boundaries(docs(spark, *texts)).collect()}
+    want = {(d, i): (punctuation.punctuated_before(t, m.start()), punctuation.punctuated_after(t, m.end())) for d, t in enumerate(texts) for i, m in enumerate(re.finditer(r"[^\W\d_]+", t or ""))}
+    assert got == want and len(want) > 300
+    rows = [(0, 0, 1, "b"), (0, 0, 0, "a"), (0, 1, 2, "c"), (None, 0, 0, "d"), (None, 0, 0, "d")]
+    groups = punctuation.sentence_groups(spark.createDataFrame(rows, "doc_id long, sent_id int, tok_idx int, text string")).collect()
+    assert sorted(((r.doc_id, r.sent_id, "".join(t.text for t in r.tokens)) for r in groups), key=repr) == [(0, 0, "ab"), (0, 1, "c"), (None, 0, "dd")]
+
+
 def test_patterns(spark):
     t = tokens(spark, (0, W1))
     at = lambda p: sorted(r.position for r in patterns.query(t, p).collect())
