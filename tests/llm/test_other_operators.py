@@ -248,6 +248,44 @@ def test_edited_copies_are_found(side, n):
     assert all(found[e] >= 0.9 * n for e in EDITS) and sum(found.values()) >= 0.97 * sum(linked.values())
 
 
+def test_unrelated_pictures_share_few_keys():
+    """Of 400 pictures of their own, few pairs share a key by chance: fewer for more images, though copies are found as often."""
+    rng = np.random.default_rng(23)
+    own = [described(picture(rng, 72)) for _ in range(400)]
+    kept = []
+    for most, length, tables in images.SIZES:
+        assert images.key_sizes(most or 10**9) == [length, tables]
+        keys, shapes = zip(*(images.join_keys(*d, length, tables) for d in own))
+        node, key, shape = np.repeat(np.arange(len(own)), [len(k) for k in keys]), np.concatenate(keys), np.concatenate(shapes)
+        order, pairs = np.argsort(key, kind="stable"), set()
+        node, key, shape = node[order], key[order], shape[order]
+        for apart in range(1, len(key)):
+            i = np.flatnonzero(key[apart:] == key[:-apart])
+            if not len(i):
+                break
+            i = i[(node[i] != node[i + apart]) & images.near_shapes(shape[i], shape[i + apart])]
+            pairs |= set(zip(node[i].tolist(), node[i + apart].tolist()))
+        kept.append(len({(min(p), max(p)) for p in pairs}))
+    print(kept)
+    assert kept[0] <= 50 and kept[1] <= 25 and kept[2] <= 15
+
+
+def test_longer_keys_find_as_many_copies():
+    """At every number of images, copies of small pictures share keys."""
+    rng = np.random.default_rng(24)
+    linked, found = 0, [0] * len(images.SIZES)
+    for _ in range(40):
+        a = np.clip(images.resized(rng.uniform(0, 255, (15, 15)), 4.8), 0, 255).astype(np.uint8)
+        for edit in EDITS.values():
+            whole, d = described(a), described(np.clip(np.rint(edit(a)), 0, 255).astype(np.uint8))
+            if images.agreeing(*whole, *d) >= images.AGREE:
+                linked += 1
+                for at, (_, *size) in enumerate(images.SIZES):
+                    found[at] += shared((*whole, *size), (*d, *size)) >= images.SHARED
+    print(linked, found)
+    assert min(found) >= 0.95 * linked
+
+
 def test_neighbours_equal_all_distances(monkeypatch):
     """Crowded, scattered, tied, lone points of several scales: cells find what the matrix of distances gives."""
     rng = np.random.default_rng(19)
