@@ -240,3 +240,16 @@ def test_spans_are_found_forward(spark):
     t = t.where("lemma <> 'нет'").unionByName(t.where("lemma = 'нет'").withColumn("text", F.lit("мимо")))
     got = {r.tok_idx: (r.start, r.end) for r in T.align_spans(t, docs(spark, "Он и он")).collect()}
     assert got == {0: (0, 2), 1: (5, 7), 2: (None, None), 3: (0, 2)}
+
+
+def test_report_numbers_are_rounded_and_written_as_in_sql(spark):
+    """527 / 800 is a little below 0.65875; small and large numbers have no exponent."""
+    import duckdb
+
+    from lexiforge.operators import reports
+
+    pairs = [(527, 800), (3873, 800), (3, 3165), (1, 10**5), (0, 1), (12345678, 1), (10**9, 7), (-527, 800), (10001, 10**4), (5, 0)]
+    rows = spark.createDataFrame(pairs, "a long, b long").select("a", "b", metrics.ratio(F.col("a"), F.col("b")).alias("x"))
+    got = {(r.a, r.b): r.t for r in rows.select("a", "b", reports.number(F.col("x")).alias("t")).collect()}
+    want = {(a, b): duckdb.execute("select coalesce(round(?::DOUBLE / nullif(?, 0)::DOUBLE, 4)::VARCHAR, '∞')", [a, b]).fetchone()[0] for a, b in pairs}
+    assert got == want and got[527, 800] == "0.6587" and got[3, 3165] == "0.0009" and got[12345678, 1] == "12345678.0"
