@@ -253,3 +253,21 @@ def test_report_numbers_are_rounded_and_written_as_in_sql(spark):
     got = {(r.a, r.b): r.t for r in rows.select("a", "b", reports.number(F.col("x")).alias("t")).collect()}
     want = {(a, b): duckdb.execute("select coalesce(round(?::DOUBLE / nullif(?, 0)::DOUBLE, 4)::VARCHAR, '∞')", [a, b]).fetchone()[0] for a, b in pairs}
     assert got == want and got[527, 800] == "0.6587" and got[3, 3165] == "0.0009" and got[12345678, 1] == "12345678.0"
+
+
+def test_spans_of_joined_sources_meet_however_partitions_are_cut(spark):
+    """Both sources come from joins on doc_id, of unlike sizes; each document's spans are swept together all the same."""
+    small = {"spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        texts = spark.range(200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("слово "), 300).alias("text"))
+        marks = spark.range(2000).select((F.col("id") % 200).alias("doc_id"), (F.floor(F.col("id") / 200) * 40).cast("int").alias("at"))
+        lt = errors.from_checker(marks.select("doc_id", F.lit("R0").alias("rule_id"), F.lit("TYPOS").alias("category"), F.lit("m" * 70).alias("message"), F.col("at").alias("offset"), F.lit(30).alias("length"), F.array(F.lit("a")).alias("replacements")), texts)
+        sp = errors.from_speller(marks.where("at < 120").select("doc_id", F.lit(1).alias("code"), (F.col("at") + 10).alias("pos"), F.lit(5).alias("len"), F.lit("w").alias("word"), F.array(F.lit("p")).alias("s")), texts)
+        kept = errors.keep_first_spans(lt.unionByName(sp)).groupBy("source").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {r["source"]: r["count"] for r in kept} == {"LT": 2000}
