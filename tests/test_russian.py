@@ -271,3 +271,26 @@ def test_spans_of_joined_sources_meet_however_partitions_are_cut(spark):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert {r["source"]: r["count"] for r in kept} == {"LT": 2000}
+
+
+def test_tokens_and_errors_leave_in_batches_of_fixed_size(spark):
+    """A task reads no further text than its next batch of rows needs, and sentences that cross batches stay whole."""
+    from lexiforge.plans import error_plans
+
+    read, text = [], "слово " * 7000 + "."
+
+    def texts():
+        for i in range(3):
+            read.append(i)
+            yield i, text
+
+    found = P.batched(error_plans.tree_rows(texts()), error_plans.TREE_TOKENS)
+    assert next(found).num_rows == P.ROWS and read == [0]
+    assert max(b.num_rows for b in found) == P.ROWS and read == [0, 1, 2]
+    rows = list(error_plans.tree_rows([(5, text), (6, "а б. в г д, е ё ж з и к")]))
+    t = spark.createDataFrame(rows, error_plans.TREE_TOKENS).repartition(4)
+    got = [tuple(r) for r in P.subtrees(t).collect()]
+    assert len(got) == len(set(got)) and {m for d, _, i, m in got if (d, i) == (5, 6994)} == set(range(6994, 7001))
+    docs = spark.createDataFrame([(5, text), (6, "а б. в г д, е ё ж з и к"), (7, None)], "doc_id long, text string")
+    want = [(d, *x) for d, s in ((5, text), (6, "а б. в г д, е ё ж з и к")) for n in sorted({r[2] for r in rows if r[0] == d}) for x in P.clauses(s, [P._TOKEN(r[0], r[2], r[1], r[3], r[7], *r[4:7], *r[8:]) for r in rows if (r[0], r[2]) == (d, n)])]
+    assert sorted(map(tuple, P.check_trees(t, docs).collect())) == sorted(want) and len(want) > 3000
