@@ -294,3 +294,26 @@ def test_tokens_and_errors_leave_in_batches_of_fixed_size(spark):
     docs = spark.createDataFrame([(5, text), (6, "а б. в г д, е ё ж з и к"), (7, None)], "doc_id long, text string")
     want = [(d, *x) for d, s in ((5, text), (6, "а б. в г д, е ё ж з и к")) for n in sorted({r[2] for r in rows if r[0] == d}) for x in P.clauses(s, [P._TOKEN(r[0], r[2], r[1], r[3], r[7], *r[4:7], *r[8:]) for r in rows if (r[0], r[2]) == (d, n)])]
     assert sorted(map(tuple, P.check_trees(t, docs).collect())) == sorted(want) and len(want) > 3000
+
+
+def test_a_profile_is_sent_once_to_the_cells_of_its_pairs(spark):
+    """Pairs within and across blocks equal plain sets; no row of a join stands for a pair and a key."""
+    import random
+
+    rng = random.Random(3)
+    ids = [0, 1, 2, compare.BLOCK - 1, compare.BLOCK, compare.BLOCK + 1, 5 * compare.BLOCK, 7 * compare.BLOCK]
+    bags = {i: {w: rng.randint(1, 9) for w in rng.sample(["я", "ё", "Z", "b", "а", "\U0001f600", "ж ж", "c"], rng.randint(0, 6))} for i in ids}
+    two = [(a, b) for a in ids for b in ids if a < b] + [(ids[0], ids[1]), (3, 4), (None, 1), (ids[7], ids[0])]
+    long = spark.createDataFrame([(i, w, n) for i, bag in bags.items() for w, n in bag.items()] + [(0, None, 5)], "doc_id long, lemma string, n long")
+    for kind in ("long", "string"):
+        pairs = spark.createDataFrame(two, "left_id long, right_id long").selectExpr(f"cast(left_id as {kind}) left_id", f"cast(right_id as {kind}) right_id")
+        own = long.withColumn("doc_id", F.col("doc_id").cast(kind))
+        got = {(int(r.left_id), int(r.right_id)): r.common for r in compare.common_lemmas(pairs, own, 3, ("c",)).collect()}
+        want = {}
+        for a, b in two:
+            both = [w for w in bags.get(a, {}) if w in bags.get(b, {}) and w != "c"]
+            if both:
+                want[a, b] = sorted(both, key=lambda w: (-bags[a][w] - bags[b][w], w))[:3]
+        assert got == want and len(want) > 10
+    plan = compare.jaccard(pairs, own)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lemma" in plan and not any("Join" in line and "lemma" in line for line in plan.splitlines())
